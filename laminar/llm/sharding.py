@@ -73,9 +73,8 @@ def _search(work: DataFrame, key: str, weight: str, halves: dict[int, int], lo_h
 
 
 def kd_leaves(work: DataFrame, dims: list[str], weight: str, depth: int) -> DataFrame:
-    """`work` with a `node` column, 0 .. 2**depth - 1. work: dims (0 .. 2**31-1, long), weight, crc (unsigned 32 bit), tie (0 .. 2**62)."""
+    """`work` with a `node` column, 0 .. 2**depth - 1. work: dims (0 .. 2**31-1, long), node (0), weight, crc (unsigned 32 bit), tie (0 .. 2**62)."""
     spark = work.sparkSession
-    work = work.withColumn("node", F.lit(0).cast("long"))
     spans: dict[str, int] = {}
     for _ in range(depth):
         ask = [F.sum(weight).alias("w")] + [f(d).alias(f"{k}_{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max))]
@@ -132,7 +131,7 @@ def kd_shards(docs: DataFrame, shards: int = 16, target_bytes: int | None = None
     size = common.utf8_bytes(text) + 1
     work = docs.select(
         "doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        (F.octet_length(text) - F.length(text)).cast("long").alias("wide"),
+        (F.octet_length(text) - F.length(text)).cast("long").alias("wide"), F.lit(0).cast("long").alias("node"),
     )
     work = common.written(work, "kd-rows")
     facts = work.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
