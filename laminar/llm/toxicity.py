@@ -28,7 +28,9 @@ MAX_SIDE = 3_000
 LEXICON = 2_000
 PREFIX = (4, 10)
 #: Least log odds of an entry, and least share of its documents in which its neighbours differ.
-PURE, VARIED = 3.0, 0.6
+PURE, VARIED = 1.5, 0.6
+#: Bound of the expected number of entries by chance, and weights that count as the same.
+SURE, NEARLY = 0.05, 0.7
 THRESHOLD = 0.7
 #: Phrases in which a lexicon word is meant literally (fixed values).
 EXCEPTIONS = ["clown fish", "trash bag", "trash bin", "trash can"]
@@ -112,7 +114,7 @@ def _contexts(patterns: list[str]) -> callable:
 class Lexicon:
     """Weights by pattern, exception phrases and the logistic coefficients; a few thousand short strings at most."""
 
-    def __init__(self, weights: dict[str, float], exceptions: list[str], coef: tuple[float, ...] = (-9.0, 1.0, 1.0)) -> None:
+    def __init__(self, weights: dict[str, float], exceptions: list[str], coef: tuple[float, ...] = (-9.0, 1.0, 1.0, 1.0, 0.0)) -> None:
         self.weights, self.exceptions, self.coef = weights, exceptions, coef
         self._made = None
 
@@ -130,10 +132,10 @@ class Lexicon:
             self._made.make_automaton()
         return self._made
 
-    def features(self, text: str | None) -> tuple[float, float]:
-        """log of the summed weights, and of those per 100 words."""
+    def features(self, text: str | None) -> tuple[float, ...]:
+        """log of the summed weights and of those per 100 words, the heaviest match, the square root of the summed weights per square root of the words."""
         if not self.weights:
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0, 0.0
         t = fold(text)
         hits, free = [], []
         for end, (p, n) in self.automaton.iter(t):
@@ -141,23 +143,25 @@ class Lexicon:
                 hits.append((end - n + 1, end, self.weights[p]))
             if p in self.exceptions:
                 free.append((end - n + 1, end))
-        total, word = 0.0, -1
+        total, word, top = 0.0, -1, 0.0
         best = 0.0
         for start, end, w in sorted(hits):
             if any(a <= start and end <= b for a, b in free):
                 continue
+            top = max(top, w)
             if start == word:  # of the entries that a word matches, the heaviest
                 best = max(best, w)
                 continue
             total += best
             word, best = start, w
         total += best
-        return math.log1p(total), math.log1p(100 * total / max(1, t.count(" ") - 1))
+        n = max(1, t.count(" ") - 1)
+        return math.log1p(total), math.log1p(100 * total / n), top, total / math.sqrt(n)
 
-    def score(self, x: tuple[float, float]) -> float:
+    def score(self, x: tuple[float, ...]) -> float:
         if not self.weights:
             return 0.0
-        z = self.coef[0] + self.coef[1] * x[0] + self.coef[2] * x[1]
+        z = self.coef[0] + sum(c * v for c, v in zip(self.coef[1:], x, strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -169,32 +173,45 @@ def training(docs: DataFrame, labels: DataFrame, bound: int = MAX_SIDE) -> DataF
     return docs.select("doc_id", "text").join(F.broadcast(sides[0].unionByName(sides[1])), "doc_id")
 
 
+def chance(a: int, b: int, share: float) -> float:
+    """Probability of a or more toxic among a + b documents, if each is toxic by `share`."""
+    n = a + b
+    if n > 2000:  # normal tail; far beyond any threshold here
+        z = (a - 0.5 - n * share) / math.sqrt(n * share * (1 - share))
+        return 0.5 * math.erfc(z / math.sqrt(2))
+    logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share) for k in range(a, n + 1)]
+    return sum(map(math.exp, logs))
+
+
 def chosen(counts: DataFrame, toxic: DataFrame, n1: int, n0: int) -> dict[str, float]:
     """The lexicon from pattern counts(pattern, a: toxic documents, b: clean ones) and the toxic documents.
 
-    An entry must occur between different words; what occurs in one context only comes from copies of one document.
+    An entry is more frequent in toxic documents than chance explains, given how many patterns were tried, and occurs between different words: what occurs
+    in one context only comes from copies of one document.
     """
-    least = max(3, int(0.01 * n1))
-    odds = F.log((F.col("a") + 0.1) / (n1 + 0.2) * F.lit(n0 + 0.2) / (F.col("b") + 0.1))
-    rows = counts.where(F.col("a") >= least).withColumn("w", odds).where(F.col("w") >= PURE).orderBy(F.desc("a"), "pattern").limit(4 * LEXICON).collect()
+    tried = counts.count()
+    odds = F.log((F.col("a") + 0.5) / (n1 + 1) * F.lit(n0 + 1) / (F.col("b") + 0.5))
+    rows = counts.where("a >= 3").withColumn("w", odds).where(F.col("w") >= PURE).orderBy(F.desc(F.col("a") * F.col("w")), "pattern").limit(4 * LEXICON).collect()
+    rows = [r for r in rows if chance(r["a"], r["b"], n1 / (n1 + n0)) * max(1, tried) < SURE]
     if not rows:
         return {}
     met = toxic.mapInArrow(_contexts([r["pattern"] for r in rows]), "pattern string, context string").groupBy("pattern").agg(F.count_distinct("context").alias("n"))
     contexts = {r["pattern"]: r["n"] for r in met.collect()}
-    found = {r["pattern"]: (r["a"], min(8.0, r["w"])) for r in rows if contexts.get(r["pattern"], 0) >= max(least, VARIED * r["a"])}
-    words = [p[1:-1] for p in found if p.endswith(" ")]
+    # a beginning that one longer pattern accounts for adds nothing
+    further: dict[str, int] = {}
+    for r in rows:
+        p = r["pattern"]
+        for k in range(2, len(p)):
+            further[p[:k]] = max(further.get(p[:k], 0), r["a"])
     kept: dict[str, float] = {}
-    # a word beginning counts if it stands for more documents than any one word that has it, and no shorter one does
-    for p in sorted((p for p in found if not p.endswith(" ")), key=len):
-        if any(p.startswith(k) for k in kept):
+    for r in sorted(rows, key=lambda r: (-r["a"], -len(r["pattern"]), r["pattern"])):
+        p, w = r["pattern"], min(8.0, r["w"])
+        if contexts.get(p, 0) < VARIED * r["a"] or further.get(p, 0) >= 0.9 * r["a"]:
             continue
-        most = max((found[f" {w} "][0] for w in words if w.startswith(p[1:])), default=0)
-        if found[p][0] >= 1.5 * most + 2:
-            kept[p] = found[p][1]
-    for w in words:
-        if not any(f" {w}".startswith(k) for k in kept):
-            kept[f" {w} "] = found[f" {w} "][1]
-    return dict(sorted(kept.items(), key=lambda x: (-found[x[0]][0], x[0]))[:LEXICON])
+        # a longer pattern adds something only if it is clearly purer than a beginning of it
+        if all(w > kept[p[:k]] + NEARLY for k in range(2, len(p)) if p[:k] in kept):
+            kept[p] = w
+    return dict(list(kept.items())[:LEXICON])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
@@ -203,29 +220,34 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     if not sizes.get(0) or not sizes.get(1):
         return Lexicon({}, [])
     pairs = rows.select("text", "toxic").mapInArrow(_candidates, "pattern string, toxic int")
-    counts = pairs.groupBy("pattern").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b"))
+    counts = pairs.groupBy("pattern").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b")).where("a + b >= 3")
+    counts = common.written(counts, "toxicity-patterns")
     lexicon = Lexicon(chosen(counts, rows.where("toxic = 1").select("text"), sizes[1], sizes[0]), [f" {e} " for e in EXCEPTIONS])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [lexicon.features(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in x], pa.float64()), pa.array([v[1] for v in x], pa.float64()), b.column("toxic")], ["x", "y", "toxic"])
-
-    got = rows.select("text", "toxic").mapInArrow(measured, "x double, y double, toxic int").collect()  # three numbers a sample row
-    lexicon.coef = logistic(np.array([[r["x"], r["y"]] for r in got]), np.array([r["toxic"] for r in got], float))
+            yield pa.RecordBatch.from_arrays([pa.array([list(v) for v in x], pa.list_(pa.float64())), b.column("toxic")], ["x", "toxic"])
+
+    got = rows.select("text", "toxic").mapInArrow(measured, "x array<double>, toxic int").collect()  # a few numbers a sample row
+    got = sorted((list(r["x"]), r["toxic"]) for r in got)
+    full = {r["toxic"]: r["n"] for r in labels.where("toxic in (0, 1)").where(common.crc_mod(F.col("doc_id"), 3) != 1).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    y = np.array([t for _, t in got], float)
+    # the sample's halves weigh as the labels' do
+    weight = np.where(y == 1, full[1] / max(1, y.sum()), full[0] / max(1, (1 - y).sum()))
+    lexicon.coef = logistic(np.array([x for x, _ in got]), y, weight / weight.mean())
     return lexicon
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> tuple[float, ...]:
-    """Class-balanced logistic regression by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.5) -> tuple[float, ...]:
+    """Weighted logistic regression with a ridge, by Newton's method."""
     a = np.hstack([np.ones((len(x), 1)), x])
-    w = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
     beta = np.zeros(a.shape[1])
-    penalty = np.diag([1e-3, *[ridge] * x.shape[1]]) * len(y) / 100
-    for _ in range(50):
+    penalty = np.diag([1e-6, *[ridge] * x.shape[1]])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
         step = np.linalg.solve((a.T * (w * p * (1 - p))) @ a + penalty, a.T @ (w * (y - p)) - penalty @ beta)
-        beta += np.clip(step, -5, 5)
+        beta += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
     return tuple(float(v) for v in beta)
