@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, html_text, quality_model, quality_rules, sharding, simhash, toxicity, url_filter
+from . import bpe, decontamination, html_text, katz, quality_model, quality_rules, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
@@ -12,6 +12,7 @@ QUERIES = {
     "op1_html_text": html_text.op1_html_text,
     "op2_toxicity": toxicity.op2_toxicity,
     "op8_quality_model": quality_model.op8_quality_model,
+    "op3_katz": katz.op3_katz,
     "op4_kd_sharding": sharding.op4_kd_sharding,
     "op9_url_filters": url_filter.op9_url_filters,
 }
