@@ -2,7 +2,8 @@
 
 Word unigrams and bigrams are hashed into BUCKETS buckets. Two multinomials over the buckets, smoothed by adding one, are counted: the
 target's over trusted documents (labelled good; at most TRUSTED of them, those with the smallest hash of doc_id), and the raw corpus's over all
-documents. A document's verdict is the mean of log(target / raw) over its n-grams, compared with THRESHOLD; no randomness.
+documents. A document's verdict is the mean of log(target / raw) over its n-grams, plus SLACK over the root of
+their number, compared with THRESHOLD; no randomness.
 
 Counting is one pass whose rows are combined map-side (the shuffle carries at most BUCKETS rows a task); scoring is a narrow pass
 with the ratios as a literal of BUCKETS numbers. No document leaves its row.
@@ -22,11 +23,11 @@ from pyspark.sql import functions as F
 
 from . import arrays, common
 
-BUCKETS = 65_536
+BUCKETS = 262_144
 #: Bound of the trusted sample, in documents: their ids, 8 bytes each, are broadcast.
 TRUSTED = 50_000
-#: Mean log ratio per n-gram under which a document is not kept.
-THRESHOLD = -0.75
+#: A document is kept if its mean log ratio per n-gram, with SLACK standard deviations of a mean of so many, is at least THRESHOLD.
+THRESHOLD, SLACK = -0.15, 0.3
 WINDOW = 8
 MIN_WORDS = 20
 
@@ -36,13 +37,8 @@ def trusted_ids(labels: DataFrame, bound: int = TRUSTED) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
-def ngrams(words: Column) -> tuple[Column, Column]:
-    h = arrays.hashes(words)
-    return h, arrays.doubled(h, 1)
-
-
 def bucket(h: Column) -> Column:
-    return F.pmod(h, F.lit(BUCKETS)).cast("int")
+    return h.bitwiseAND(F.lit(BUCKETS - 1).cast("long"))
 
 
 def ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
@@ -52,8 +48,9 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("target", F.lit(1))), "doc_id", "left")
     words = marked.select(common.split_words(F.col("text")).alias("words"), "target")
     hashed = words.select(arrays.hashes(F.col("words")).alias("h1"), "target")
-    hashed = hashed.select(F.concat("h1", arrays.doubled(F.col("h1"), 1)).alias("h"), "target")
-    counts = hashed.select(F.explode("h").alias("h"), "target").groupBy(bucket(F.col("h")).alias("b")).agg(F.count("*").alias("raw"), F.count("target").alias("target"))
+    # explode() of the expression, not of a column: for a column, Catalyst adds a filter on its size, which would compute the words twice
+    grams = F.explode(F.concat("h1", arrays.doubled(F.col("h1"), 1)))
+    counts = hashed.select(grams.alias("h"), "target").groupBy(bucket(F.col("h")).alias("b")).agg(F.count("*").alias("raw"), F.count("target").alias("target"))
     raw, target = [1] * BUCKETS, [1] * BUCKETS
     for r in counts.collect():  # BUCKETS rows at most
         raw[r["b"]] += r["raw"]
@@ -72,7 +69,7 @@ def rules(docs: DataFrame, weights: list[float], threshold: float = THRESHOLD, e
     df = docs.select("doc_id", *extra, text.alias("_t"), lines.alias("_lines"))
     df = df.select(
         "doc_id", *extra, common.split_words(F.col("_t")).alias("_words"),
-        F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
     )
     df = df.select("*", arrays.hashes(F.col("_words")).alias("_h1"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars"))
@@ -80,18 +77,18 @@ def rules(docs: DataFrame, weights: list[float], threshold: float = THRESHOLD, e
     df = df.select("*", arrays.doubled(F.col("_h2"), 2).alias("_h4"))
     df = df.select("*", arrays.doubled(F.col("_h4"), 4).alias("_h8")).drop("_h4")
     table = F.from_json(F.lit(json.dumps(weights)), "array<double>")
-    total = lambda h: F.aggregate(h, F.lit(0.0), lambda acc, x: acc + F.get(table, bucket(x)))
+    total = lambda h: F.aggregate(h, F.lit(0.0), lambda acc, x: acc + F.get(table, bucket(x).cast('int')))
     starts = F.when(F.size(F.array_distinct("_h8")) < F.size("_h8"), arrays.repeated(F.col("_h8")))
     df = df.select("*", (total(F.col("_h1")) + total(F.col("_h2"))).alias("_sum"), starts.alias("_starts"))
     n = F.size("_h1").cast("long")
     repeats = F.coalesce(arrays.covered(F.col("_starts"), WINDOW), F.lit(0)).cast("long")
     df = df.select(
         "doc_id", *extra, n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"),
-        (F.col("_sum") / F.greatest(F.size("_h1") + F.size("_h2"), F.lit(1))).alias("llr"),
+        (F.col("_sum") / F.greatest(F.size("_h1") + F.size("_h2"), F.lit(1))).alias("llr"), F.greatest(F.size("_h1") + F.size("_h2"), F.lit(1)).alias("_n"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") + F.lit(SLACK) / F.sqrt("_n") >= threshold)).drop("_n")
 
 
 def judge(docs: DataFrame, labels: DataFrame, extra: list[str] | None = None) -> DataFrame:
