@@ -199,17 +199,23 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _digests(spec) -> callable:
+def _digests(spec, with_ids: bool) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(spec.value)
         for b in batches:
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, kept = [], [], [], []
             for x in b.column("text"):
                 ids = np.array(bpe.encode(x.as_py() or ""), "<u4")
                 n.append(len(ids))
+                if with_ids:
+                    kept.append(ids)
                 ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 text_sha.append(hashlib.sha256(bpe.decode(ids).decode("utf-8", "replace").encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                cols.append(pa.array([x.astype(np.int32) for x in kept], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(cols, names + ["ids"] * with_ids)
 
     return run
 
@@ -248,11 +254,11 @@ def decode(tokens: DataFrame, vocab: str | None = None, key: str = "doc_id") ->
     return tokens.select(key, "ids").mapInArrow(_texts(spec), f"`{key}` {kind}, text string")
 
 
-def digests(docs: DataFrame, vocab: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text is encoded and decoded in one pass and only the digests leave the worker."""
+def digests(docs: DataFrame, vocab: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and, asked for, ids: each text is encoded and decoded in one pass and, without ids, only the digests leave the worker."""
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary(vocab or default_path()))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_digests(spec), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(_digests(spec, with_ids), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

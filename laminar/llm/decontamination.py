@@ -2,7 +2,7 @@
 
 Built-in functions only. Window hashes of a document come from three doublings of word hashes (1, 2, 4, 8 words); membership
 is a test against a literal set, so no document is exploded or shuffled. A hit is verified by its words, not only its hash.
-Windows that hit (few) are then joined with the items they come from.
+Only documents with hits are compared with the items' windows.
 
 The set is a literal while the benchmark has at most SET_WINDOWS windows (it is measured; 16 bytes a window).
 Beyond that, document windows are exploded and joined with the windows by a shuffle instead; results are the same.
@@ -13,6 +13,8 @@ has no window; repeated items count by item_id; an empty benchmark hits nothing;
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,8 +84,6 @@ def hit_windows(docs: DataFrame, items: DataFrame, extra: list[str], bound: int)
 
 
 def _strings(values: list[str]) -> Column:
-    import json
-
     return F.from_json(F.lit(json.dumps(values, ensure_ascii=False)), "array<string>")
 
 
@@ -115,27 +115,68 @@ def joined_windows(docs: DataFrame, items: DataFrame, extra: list[str]) -> DataF
     return out.join(hits, "_row", "left").select("doc_id", *extra, "n_words", F.coalesce("hits", none).alias("hits"))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, bound: int = SET_WINDOWS, extra: list[str] | None = None) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (merged word ranges hit), and `extra`."""
+def scan(docs: DataFrame, benchmark: DataFrame, bound: int = SET_WINDOWS, extra: list[str] | None = None, with_hits: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, `extra`, and, asked for, hits."""
     extra = extra or []
     items = item_windows(benchmark)
     small = items.count() <= bound
     found = hit_windows(docs, items, extra, bound) if small else joined_windows(docs, items, extra)
     found = found.withColumn("n_hit", F.when(F.size("hits") > 0, covered(F.col("hits"))).otherwise(F.lit(0)).cast("long"))
-    # a document without hits is one row, one with hits as many as it has distinct windows hit
+    keep = ["doc_id", *extra, "n_words", "n_hit", *(["hits"] if with_hits else [])]
     wins = F.array_distinct(F.transform("hits", lambda x: x["win"]))
-    found = found.select(F.monotonically_increasing_id().alias("_row"), "doc_id", *extra, "n_words", "n_hit", wins.alias("_wins"))
-    rows = found.select("_row", "doc_id", *extra, "n_words", "n_hit", F.explode_outer("_wins").alias("win"))
-    per_item = items.select("win", F.col("item_id").cast("string").alias("item_id"))
-    per_item = F.broadcast(per_item) if small else per_item
-    first = [F.first(c).alias(c) for c in ["doc_id", *extra, "n_words", "n_hit"]]
-    rows = rows.join(per_item, "win", "left").groupBy("_row").agg(*first, F.array_sort(F.collect_set("item_id")).alias("items"))
+    if small:
+        listed = items.groupBy("item_id").agg(F.sort_array(F.collect_set("win")).alias("wins")).select(F.col("item_id").cast("string").alias("item_id"), "wins").collect()
+        known = F.from_json(F.lit(json.dumps([r.asDict() for r in listed], ensure_ascii=False)), "array<struct<item_id:string,wins:array<string>>>")
+        met = F.transform(F.filter(known, lambda i: F.arrays_overlap(i["wins"], F.col("_wins"))), lambda i: i["item_id"])
+        rows = found.select(*keep, wins.alias("_wins")).withColumn("items", F.when(F.size("_wins") > 0, F.array_sort(F.array_distinct(met))).otherwise(F.array().cast("array<string>")))
+    else:
+        # a document without hits is one row, one with hits as many as it has distinct windows hit
+        found = found.select(F.monotonically_increasing_id().alias("_row"), *keep, wins.alias("_wins"))
+        rows = found.select("_row", *keep, F.explode_outer("_wins").alias("win"))
+        first = [F.first(c).alias(c) for c in keep]
+        rows = rows.join(items.select("win", F.col("item_id").cast("string").alias("item_id")), "win", "left")
+        rows = rows.groupBy("_row").agg(*first, F.array_sort(F.collect_set("item_id")).alias("items"))
     return rows.select(
-        "doc_id", *extra, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        *keep, F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("items") >= 2).alias("contaminated"), "items",
     )
 
 
+#: A word with the gap before it, in the text as it is.
+PIECE_RE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def without(text: Column, hits: Column) -> Column:
+    """The text without the words of the hits and the gaps before them."""
+    pieces = F.regexp_extract_all(text, F.lit(PIECE_RE), F.lit(0))
+    rest = F.regexp_extract(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)
+    left = F.filter(pieces, lambda p, i: ~F.exists(hits, lambda x: (i >= x["pos"]) & (i < x["pos"] + x["size"])))
+    return F.concat(F.array_join(left, ""), rest)
+
+
+def merged(hits: Column) -> Column:
+    """Hits, ordered by position, as disjoint spans."""
+    none = F.array().cast("array<struct<pos:int,size:int>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        end = F.greatest(last["pos"] + last["size"], x["pos"] + x["size"])
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["pos"].alias("pos"), (end - last["pos"]).alias("size"))))
+        return F.when((F.size(acc) > 0) & (x["pos"] <= last["pos"] + last["size"]), joined).otherwise(F.concat(acc, F.array(F.struct(x["pos"].alias("pos"), x["size"].alias("size")))))
+
+    return F.aggregate(hits, none, step)
+
+
+def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs`, whatever their columns, that are not contaminated; the words of a single item that a text holds are cut out."""
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc"))
+    out = scan(packed, benchmark, extra=["_doc"], with_hits=True)
+    # the id stops Catalyst from moving the filter below the projections, where it would repeat their work
+    out = out.withColumn("_at", F.monotonically_increasing_id()).where(~F.col("contaminated") & (F.col("_at") >= 0))
+    clean = F.when(F.size("hits") > 0, without(F.col("_doc.text"), merged(F.col("hits")))).otherwise(F.col("_doc.text"))
+    return out.select(*[clean.alias(c) if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns])
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

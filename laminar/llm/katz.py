@@ -320,7 +320,7 @@ def _merge_pairs(low: Unigrams, hot_hashes: np.ndarray) -> callable:
         few = np.zeros((len(first), K), np.int64)
         for r in range(1, K + 1):
             few[:, r - 1] = np.bincount(head, total[seen] == r, len(first))
-        rows = [("model", part, None, pack(first), pack(uniq[seen]), pack(narrow(total[seen]))), ("stats", part, None, counts_of_counts(total).tobytes(), None, None)]
+        rows = [("model", part, None, pack(steps(first)), pack(steps(uniq[seen].view(np.uint64))), pack(narrow(total[seen]))), ("stats", part, None, counts_of_counts(total).tobytes(), None, None)]
         frequent = np.isin(first, hot_hashes)
         for i in np.flatnonzero(frequent):
             rows.append(("hot", part, None, first[i : i + 1].tobytes(), few[i].tobytes(), mass[i : i + 1].tobytes()))

@@ -1,9 +1,10 @@
 """Quality rules: hashed n-gram log-likelihood ratio between a trusted target and the raw corpus. Built-in functions only.
 
-Word unigrams and bigrams are hashed into BUCKETS buckets. Two multinomials over the buckets, smoothed by adding one, are counted: the
-target's over trusted documents (labelled good; at most TRUSTED of them, those with the smallest hash of doc_id), and the raw corpus's over all
-documents. A document's verdict is the mean of log(target / raw) over its n-grams, plus SLACK over the root of
-their number, compared with THRESHOLD; no randomness.
+Word unigrams and bigrams are hashed into BUCKETS buckets. Two multinomials over the buckets are counted: the target's over trusted documents
+(labelled good; at most TRUSTED of them, those with the smallest hash of doc_id), and the raw corpus's over all documents. The target's is smoothed towards
+the raw corpus's, by PRIOR expected counts a bucket, so that rare n-grams of documents nobody has labelled don't count against them. A document's verdict is
+the mean of log(target / raw) over its n-grams, plus SLACK over the root of their number, compared with a threshold, which is THRESHOLD less a margin
+that shrinks with the number of trusted n-grams; no randomness.
 
 Counting is one pass whose rows are combined map-side (the shuffle carries at most BUCKETS rows a task); scoring is a narrow pass
 with the ratios as a literal of BUCKETS numbers. No document leaves its row.
@@ -17,6 +18,7 @@ documents, the ratio is 0 everywhere, so the base rules alone decide; an empty t
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +28,8 @@ from . import arrays, common
 BUCKETS = 262_144
 #: Bound of the trusted sample, in documents: their ids, 8 bytes each, are broadcast.
 TRUSTED = 50_000
-#: A document is kept if its mean log ratio per n-gram, with SLACK standard deviations of a mean of so many, is at least THRESHOLD.
-THRESHOLD, SLACK = -0.15, 0.3
+PRIOR = 10
+THRESHOLD, SLACK, MARGIN = -0.03, 0.3, 20.0
 WINDOW = 8
 MIN_WORDS = 20
 
@@ -41,27 +43,25 @@ def bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1).cast("long"))
 
 
-def ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
-    """log(target / raw) of each bucket, from counts over all documents."""
-    import math
-
+def ratios(docs: DataFrame, trusted: DataFrame) -> tuple[list[float], float]:
+    """log(target / raw) of each bucket, from counts over all documents, and the threshold."""
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("target", F.lit(1))), "doc_id", "left")
     words = marked.select(common.split_words(F.col("text")).alias("words"), "target")
     hashed = words.select(arrays.hashes(F.col("words")).alias("h1"), "target")
     # explode() of the expression, not of a column: for a column, Catalyst adds a filter on its size, which would compute the words twice
     grams = F.explode(F.concat("h1", arrays.doubled(F.col("h1"), 1)))
     counts = hashed.select(grams.alias("h"), "target").groupBy(bucket(F.col("h")).alias("b")).agg(F.count("*").alias("raw"), F.count("target").alias("target"))
-    raw, target = [1] * BUCKETS, [1] * BUCKETS
-    for r in counts.collect():  # BUCKETS rows at most
-        raw[r["b"]] += r["raw"]
-        target[r["b"]] += r["target"]
-    if sum(target) == BUCKETS:
-        return [0.0] * BUCKETS
-    shift = math.log(sum(raw)) - math.log(sum(target))
-    return [round(math.log(t) - math.log(r) + shift, 6) for r, t in zip(raw, target, strict=True)]
+    rows = counts.collect()  # BUCKETS rows at most
+    total, trust = sum(r["raw"] for r in rows), sum(r["target"] for r in rows)
+    weights = [0.0] * BUCKETS
+    if not trust:
+        return weights, THRESHOLD
+    for r in rows:
+        weights[r["b"]] = round(math.log((r["target"] + PRIOR) / (r["raw"] * trust / total + PRIOR)), 5)
+    return weights, THRESHOLD - MARGIN / math.sqrt(trust)
 
 
-def rules(docs: DataFrame, weights: list[float], threshold: float = THRESHOLD, extra: list[str] | None = None) -> DataFrame:
+def rules(docs: DataFrame, weights: list[float], threshold: float, extra: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr (and `extra` columns)."""
     extra = extra or []
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -92,7 +92,16 @@ def rules(docs: DataFrame, weights: list[float], threshold: float = THRESHOLD, e
 
 
 def judge(docs: DataFrame, labels: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    return rules(docs, ratios(docs, trusted_ids(labels)), extra=extra)
+    return rules(docs, *ratios(docs, trusted_ids(labels)), extra=extra)
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs`, whatever their columns, that are kept."""
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    out = judge(packed, labels, extra=["_row"])
+    # the id stops Catalyst from moving the filter below the projections, where it would repeat their work many times over
+    out = out.withColumn("_at", F.monotonically_increasing_id())
+    return out.where(F.col("kept") & (F.col("_at") >= 0)).select("_row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,12 +100,12 @@ def keep_one(docs: DataFrame, size: int = 3, radius: int = RADIUS) -> DataFrame:
 
     Rows are known by (doc_id, hash of the text) while fingerprints are linked; equal rows count as one.
     """
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_h"))
     fps = common.written(fingerprints(keyed, ["doc_id", "_h"], size), "simhash-prints").distinct()
     best = linked(fps, radius).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_h")).alias("m"))
     keep = best.select(F.col("m.doc_id").alias("_id"), F.col("m._h").alias("_kh"))
-    kept = keyed.join(keep, keyed["doc_id"].eqNullSafe(keep["_id"]) & (keyed["_h"] == keep["_kh"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_h"]).drop("_h")
+    kept = keyed.drop("text").join(keep, keyed["doc_id"].eqNullSafe(keep["_id"]) & (keyed["_h"] == keep["_kh"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_h"]).select("_row.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

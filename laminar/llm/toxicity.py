@@ -265,6 +265,17 @@ def scored(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     return docs.select(*keep, F.col("text").alias("_scored")).mapInArrow(run, f"{schema}, score double")
 
 
+def clean_rows(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The rows of `docs`, whatever their columns, that are not predicted toxic."""
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array([lexicon.score(lexicon.features(t.as_py())) for t in text], pa.float64())
+
+    return packed.where(score("text") < THRESHOLD).select("_row.*")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     out = scored(docs, fit(docs, labels), ["doc_id"])
