@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,20 +17,20 @@ def doubled(h: Column, span: int) -> Column:
     return F.zip_with(left, F.slice(h, span + 1, F.greatest(n, F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
 
-def positions(keys: Column) -> Column:
-    return F.sequence(F.lit(0), F.size(keys) - 1)
-
-
-def repeated(keys: Column) -> Column:
-    """Positions, ascending, of the elements that occur twice or more. One sort, no comparison of all with all."""
-    pairs = F.array_sort(F.zip_with(keys, positions(keys), lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
-    after = F.slice(pairs, 2, F.size(pairs))
-    # an element repeats if it equals the one before or the one after it
-    same = F.zip_with(pairs, after, lambda a, b: F.coalesce(a["k"] == b["k"], F.lit(False)))
-    before = F.concat(F.array(F.lit(False)), F.slice(same, 1, F.size(same) - 1))
-    either = F.zip_with(same, before, lambda a, b: a | b)
-    marked = F.filter(F.zip_with(pairs, either, lambda p, e: F.when(e, p["i"])), lambda i: i.isNotNull())
-    return F.array_sort(marked)
+def with_repeated(df: DataFrame, keys: str, out: str) -> DataFrame:
+    """Adds `out`: positions, ascending, of the elements of `keys` that occur twice or more; null if there are none.
+
+    One sort, no comparison of all with all. Every step is a projection of its own, so that none is computed more than once.
+    """
+    k = F.col(keys)
+    some = F.size(F.array_distinct(k)) < F.size(k)
+    numbered = F.zip_with(k, F.sequence(F.lit(0), F.size(k) - 1), lambda x, i: F.struct(x.alias("k"), i.alias("i")))
+    df = df.select("*", F.when(some, F.sort_array(numbered)).alias("_pairs"))
+    # equal to the next one; a pair repeats if it equals the next one or the one before
+    df = df.select("*", F.zip_with("_pairs", F.slice("_pairs", 2, F.size("_pairs")), lambda a, b: F.coalesce(a["k"] == b["k"], F.lit(False))).alias("_same"))
+    df = df.select("*", F.zip_with("_same", F.concat(F.array(F.lit(False)), F.slice("_same", 1, F.size("_same") - 1)), lambda a, b: a | b).alias("_either"))
+    marked = F.zip_with("_pairs", "_either", lambda p, e: F.when(e, p["i"]))
+    return df.select("*", F.sort_array(F.array_compact(marked)).alias(out)).drop("_pairs", "_same", "_either")
 
 
 def covered(starts: Column, span: int) -> Column:

@@ -78,13 +78,12 @@ def rules(docs: DataFrame, weights: list[float], threshold: float, extra: list[s
     df = df.select("*", arrays.doubled(F.col("_h4"), 4).alias("_h8")).drop("_h4")
     table = F.from_json(F.lit(json.dumps(weights)), "array<double>")
     total = lambda h: F.aggregate(h, F.lit(0.0), lambda acc, x: acc + F.get(table, bucket(x).cast('int')))
-    starts = F.when(F.size(F.array_distinct("_h8")) < F.size("_h8"), arrays.repeated(F.col("_h8")))
-    df = df.select("*", (total(F.col("_h1")) + total(F.col("_h2"))).alias("_sum"), starts.alias("_starts"))
-    n = F.size("_h1").cast("long")
+    df = df.select("*", (total(F.col("_h1")) + total(F.col("_h2"))).alias("_sum"), (F.size("_h1") + F.size("_h2")).alias("_n"), F.size("_h1").cast("long").alias("n_words")).drop("_h1", "_h2")
+    df = arrays.with_repeated(df, "_h8", "_starts").drop("_h8")
     repeats = F.coalesce(arrays.covered(F.col("_starts"), WINDOW), F.lit(0)).cast("long")
     df = df.select(
-        "doc_id", *extra, n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"),
-        (F.col("_sum") / F.greatest(F.size("_h1") + F.size("_h2"), F.lit(1))).alias("llr"), F.greatest(F.size("_h1") + F.size("_h2"), F.lit(1)).alias("_n"),
+        "doc_id", *extra, "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats.alias("n_repeat_words"),
+        (F.col("_sum") / F.greatest("_n", F.lit(1))).alias("llr"), F.greatest("_n", F.lit(1)).alias("_n"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     df = df.withColumn("base_failed", failed)

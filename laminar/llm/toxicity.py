@@ -53,17 +53,15 @@ def _table() -> dict[int, str]:
 
 FOLD = _table()
 LEET = str.maketrans(SUBSTITUTES)
-#: Words with a sign or digit next to a letter, to which substitutes apply; numbers stay numbers.
-MIXED = re.compile(r"(?:[^\W\d_][013457@$8]|[013457@$8][^\W\d_])")
-MIXED_WORD = re.compile(r"[\w@$]*(?:[^\W\d_][013457@$8]+[^\W\d_]|^[013457@$8][^\W\d_]|\b[013457@$8]+[^\W\d_])[\w@$]*")
+#: Whole words that hold both a letter and a digit or sign, to which substitutes apply; numbers stay numbers.
+MIXED = re.compile(r"(?<![\w@$])(?=[\w@$]*[013457@8$])(?=[\w@$]*[^\W\d_])[\w@$]+")
 NO_LETTER = re.compile(r"[\W\d_]+")
 
 
 def fold(text: str | None) -> str:
     """Folded words, a space before and after each."""
     t = (text or "").translate(FOLD)
-    if MIXED.search(t):
-        t = MIXED_WORD.sub(lambda m: m[0].translate(LEET), t)
+    t = MIXED.sub(lambda m: m[0].translate(LEET), t)
     return f" {NO_LETTER.sub(' ', t).strip()} "
 
 
