@@ -13,7 +13,7 @@ sorted and packed (5 to 6 bytes a key), so that words that fill a third of a cor
 2. unigrams: blocks' words meet in hash ranges, are summed, and each block gets the counts of its words back.
 3. bigrams: blocks' distinct pairs, with the counts of their second words, meet in ranges of the first word's hash; frequent first words are
    dealt to several ranges by their second words. They are summed and each block gets its pairs' counts back, and, for each first word,
-   how many followers have counts 1 to 5 and the sum of followers' p(w). For the frequent ones these are added up on the driver (at most 4 a range).
+   how many followers have pair counts 1 to 5, and, as whole numbers, what p(w) of the followers adds up to. For the frequent ones these are added up on the driver (at most 4 a range).
 4. scores: each block looks up its tokens and adds up its documents.
 
 All exchanged tables are written to the shared folder; a lost executor repeats a step at most. Counts of counts alone reach the driver.
@@ -151,7 +151,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     schema = f"block bigint, ids array<{kind.simpleString()}>, held array<boolean>, lens binary, seq binary, uniq binary, counts binary, train binary, n bigint"
     from pyspark.sql.pandas.types import to_arrow_type
 
-    made = texts.mapInArrow(_blocks(to_arrow_type(kind)), schema)
+    made = texts.mapInArrow(common.lean(_blocks(to_arrow_type(kind))), schema)
     name = f"katz_blocks_{uuid.uuid4().hex}"
     buckets = max(1, min(20_000, math.ceil(size / (6 * BLOCK_TOKENS))))
     made.write.format("parquet").option("path", f"{common.shared_dir(spark)}/{name}").bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
@@ -286,10 +286,12 @@ def _send_pairs(parts: int, starts: int, hot: int) -> callable:
                 order, part, first, bits, w, _ = block.dealt(code, known, starts, parts, hot)
                 ends = np.searchsorted(part, np.arange(parts + 1))
                 rows = []
+                # the second word's count is asked for by training pairs only
+                second = np.where(train[order] > 0, known[w], 0)
                 for p in np.flatnonzero(np.diff(ends)):
                     s = slice(ends[p], ends[p + 1])
                     heads, follow = np.unique(first[s], return_counts=True)
-                    rows.append((int(p), r["block"], pack(steps(heads)), pack(narrow(follow)), np.ascontiguousarray(bits[s]).view(np.uint8).reshape(-1, 8)[:, : W_BITS // 8].tobytes(), pack(narrow(train[order[s]])), pack(narrow(known[w[s]]))))
+                    rows.append((int(p), r["block"], pack(steps(heads)), pack(narrow(follow)), np.ascontiguousarray(bits[s]).view(np.uint8).reshape(-1, 8)[:, : W_BITS // 8].tobytes(), pack(narrow(train[order[s]])), pack(narrow(second[s]))))
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["part", "block", "heads", "follow", "bits", "counts", "words"])
@@ -297,7 +299,7 @@ def _send_pairs(parts: int, starts: int, hot: int) -> callable:
     return run
 
 
-def _merge_pairs(low: Unigrams, hot_hashes: np.ndarray) -> callable:
+def _merge_pairs(hot_hashes: np.ndarray) -> callable:
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         heads, follows, sizes = [], [], []
@@ -313,13 +315,16 @@ def _merge_pairs(low: Unigrams, hot_hashes: np.ndarray) -> callable:
         uniq, at = np.unique(key, return_inverse=True)
         total = np.bincount(at, np.concatenate([unpack(x.as_py()) for x in table.column("counts")]), len(uniq)).astype(np.int64)
         words = np.zeros(len(uniq), np.int64)
-        words[at] = np.concatenate([unpack(x.as_py()) for x in table.column("words")])
+        np.maximum.at(words, at, np.concatenate([unpack(x.as_py()) for x in table.column("words")]).astype(np.int64))
         seen = np.flatnonzero(total > 0)
         head = (uniq >> W_BITS)[seen]
-        mass = np.bincount(head, low.p(words[seen]), len(first))
-        few = np.zeros((len(first), K), np.int64)
+        known = words[seen]
+        # what p(w) of the followers adds up to, in whole numbers: the sum of counts above K, and how many followers have each count up to K
+        mass = np.bincount(head, np.where(known > K, known, 0), len(first)).astype(np.int64)
+        few = np.zeros((len(first), 2 * K), np.int64)
         for r in range(1, K + 1):
             few[:, r - 1] = np.bincount(head, total[seen] == r, len(first))
+            few[:, K + r - 1] = np.bincount(head, known == r, len(first))
         rows = [("model", part, None, pack(steps(first)), pack(steps(uniq[seen].view(np.uint64))), pack(narrow(total[seen]))), ("stats", part, None, counts_of_counts(total).tobytes(), None, None)]
         frequent = np.isin(first, hot_hashes)
         for i in np.flatnonzero(frequent):
@@ -328,7 +333,7 @@ def _merge_pairs(low: Unigrams, hot_hashes: np.ndarray) -> callable:
         for block, hs, n in zip(table.column("block"), heads, sizes, strict=True):
             mine = head_at[h : h + len(hs)]
             mine = mine[~frequent[mine]]
-            rows.append(("answer", part, block.as_py(), pack(narrow(total[at[a : a + n]])), pack(narrow(few[mine].ravel())), pack(mass[mine])))
+            rows.append(("answer", part, block.as_py(), pack(narrow(total[at[a : a + n]])), pack(narrow(few[mine].ravel())), pack(narrow(mass[mine]))))
             a, h = a + n, h + len(hs)
         return _out(rows)
 
@@ -338,8 +343,8 @@ def _merge_pairs(low: Unigrams, hot_hashes: np.ndarray) -> callable:
 # ---- step 4: scores
 
 
-def _score(low: Unigrams, d2: list[float], parts: int, starts: int, hot: int, hot_stats: dict[int, tuple[list[int], float]], kind: pa.DataType) -> callable:
-    keep = 1 - np.array(d2)
+def _score(low: Unigrams, d2: list[float], parts: int, starts: int, hot: int, hot_stats: dict[int, tuple[np.ndarray, int]], kind: pa.DataType) -> callable:
+    keep, orders = 1 - np.array(d2), np.arange(1, K + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -353,17 +358,18 @@ def _score(low: Unigrams, d2: list[float], parts: int, starts: int, hot: int, ho
                 count = np.empty(len(code), np.int64)
                 count[order] = np.concatenate([unpack(bytes(x["a"])) for x in got])
                 # first words in the order of the answers: by range, without the frequent ones
-                few, mass = np.zeros((n + 1, K)), np.zeros(n + 1)
+                few, mass = np.zeros((n + 1, 2 * K)), np.zeros(n + 1)
                 ctx = (code // n)[order]
                 new = np.ones(len(ctx), bool)
                 new[1:] = (ctx[1:] != ctx[:-1]) | (part[1:] != part[:-1])
                 at = ctx[new & ~frequent]
-                few[at] = np.concatenate([unpack(bytes(x["b"])).reshape(-1, K) for x in got])
+                few[at] = np.concatenate([unpack(bytes(x["b"])).reshape(-1, 2 * K) for x in got])
                 mass[at] = np.concatenate([unpack(bytes(x["c"])) for x in got])
                 for i in np.unique(ctx[frequent]):
                     few[i], mass[i] = hot_stats[int(np.append(block.uniq, START)[i])]
                 often = np.append(known, starts).astype(np.float64)
-                left = (few * np.arange(1, K + 1) * keep).sum(1)
+                left = (few[:, :K] * orders * keep).sum(1)
+                mass = (mass + (few[:, K:] * orders * low.d).sum(1)) * low.scale / max(1, low.n)
                 # a context without discounted followers keeps one more token for what was not seen
                 whole = np.where((left <= 0) & (often > 0), often + 1, np.maximum(often, 1))
                 alpha = np.where(often > 0, np.where(left > 0, left, 1.0) / whole / np.maximum(1 - mass, 1e-300), 1.0)
@@ -412,7 +418,7 @@ def score(docs: DataFrame) -> DataFrame:
     tokens, starts = facts["n"] or 0, facts["starts"] or 0
     size = min(max(PART_TOKENS[0], tokens // RANGES), PART_TOKENS[1])
     parts = max(1, math.ceil(tokens / size))
-    words = table.select("block", "uniq", "train").mapInArrow(_send_words(parts), "part int, block bigint, keys binary, counts binary")
+    words = table.select("block", "uniq", "train").mapInArrow(common.lean(_send_words(parts)), "part int, block bigint, keys binary, counts binary")
     uni = written_by_kind(words.groupBy("part").applyInArrow(_merge_words, OUT), "katz-unigrams")
     low = Unigrams(_stats(uni))
     hot = max(1, size // 4)
@@ -422,17 +428,17 @@ def score(docs: DataFrame) -> DataFrame:
         frequent.append(np.uint64(r["h"] & (2**64 - 1)))
     state = ["block", "ids", "held", "lens", "seq", "uniq", "counts"]
     with_words = table.select(*state).join(_answers(uni, "a").withColumnRenamed("x", "answers"), "block")
-    sent = with_words.drop("ids").mapInArrow(_send_pairs(parts, starts, hot), "part int, block bigint, heads binary, follow binary, bits binary, counts binary, words binary")
-    bi = written_by_kind(sent.groupBy("part").applyInArrow(_merge_pairs(low, np.array(frequent, np.uint64)), OUT), "katz-bigrams")
+    sent = with_words.drop("ids").mapInArrow(common.lean(_send_pairs(parts, starts, hot)), "part int, block bigint, heads binary, follow binary, bits binary, counts binary, words binary")
+    bi = written_by_kind(sent.groupBy("part").applyInArrow(_merge_pairs(np.array(frequent, np.uint64)), OUT), "katz-bigrams")
     d2 = discounts(_stats(bi))
     hot_stats: dict[int, tuple] = {}
     for r in bi.where("kind = 'hot'").select("a", "b", "c").collect():
         h = int(np.frombuffer(bytes(r["a"]), np.uint64)[0])
-        few, mass = hot_stats.get(h, (np.zeros(K), 0.0))
-        hot_stats[h] = (few + np.frombuffer(bytes(r["b"]), np.int64), mass + float(np.frombuffer(bytes(r["c"]), np.float64)[0]))
+        few, mass = hot_stats.get(h, (np.zeros(2 * K, np.int64), 0))
+        hot_stats[h] = (few + np.frombuffer(bytes(r["b"]), np.int64), mass + int(np.frombuffer(bytes(r["c"]), np.int64)[0]))
     kind = docs.schema["doc_id"].dataType
     full = with_words.join(_answers(bi, "a", "b", "c").withColumnRenamed("x", "pairs"), "block")
-    out = full.mapInArrow(_score(low, d2, parts, starts, hot, hot_stats, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = full.mapInArrow(common.lean(_score(low, d2, parts, starts, hot, hot_stats, to_arrow_type(kind))), f"doc_id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(low.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
