@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 #: Entries of a worker's table of pieces and of pairs; either is emptied when full.
-CACHE = 400_000
+CACHE = 150_000
 #: Longer pieces are not remembered.
 CACHED_CHARS = 40
 
@@ -244,21 +244,21 @@ def encode(docs: DataFrame, vocab: str | None = None, key: str = "doc_id") -> Da
     """key, ids array<int>: the tokens of `text`. A narrow map: no shuffle, one batch of rows in memory at a time."""
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary(vocab or default_path()))
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(_tokens(spec), f"`{key}` {kind}, ids array<int>")
+    return docs.select(key, "text").mapInArrow(common.lean(_tokens(spec)), f"`{key}` {kind}, ids array<int>")
 
 
 def decode(tokens: DataFrame, vocab: str | None = None, key: str = "doc_id") -> DataFrame:
     """key, text: the text of `ids`."""
     spec = tokens.sparkSession.sparkContext.broadcast(vocabulary(vocab or default_path()))
     kind = tokens.schema[key].dataType.simpleString()
-    return tokens.select(key, "ids").mapInArrow(_texts(spec), f"`{key}` {kind}, text string")
+    return tokens.select(key, "ids").mapInArrow(common.lean(_texts(spec)), f"`{key}` {kind}, text string")
 
 
 def digests(docs: DataFrame, vocab: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and, asked for, ids: each text is encoded and decoded in one pass and, without ids, only the digests leave the worker."""
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary(vocab or default_path()))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_digests(spec, with_ids), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(common.lean(_digests(spec, with_ids)), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,7 +173,9 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = scan(packed, benchmark, extra=["_doc"], with_hits=True)
     # the id stops Catalyst from moving the filter below the projections, where it would repeat their work
     out = out.withColumn("_at", F.monotonically_increasing_id()).where(~F.col("contaminated") & (F.col("_at") >= 0))
-    clean = F.when(F.size("hits") > 0, without(F.col("_doc.text"), merged(F.col("hits")))).otherwise(F.col("_doc.text"))
+    # spans as a column of its own, used twice, else Catalyst moves it into the lambda of without(), to be merged again for every word
+    out = out.select("_doc", F.when(F.size("hits") > 0, merged(F.col("hits"))).alias("_spans"))
+    clean = F.when(F.size("_spans") > 0, without(F.col("_doc.text"), F.col("_spans"))).otherwise(F.col("_doc.text"))
     return out.select(*[clean.alias(c) if c == "text" else F.col("_doc")[c].alias(c) for c in docs.columns])
 
 

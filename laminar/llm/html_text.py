@@ -264,7 +264,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: a narrow map, one batch of pages in memory at a time."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars bigint")
+    return pages.select("page_id", "url", "html").mapInArrow(common.lean(_extract), f"page_id {kind}, url string, text string, n_chars bigint")
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,7 +168,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame) -> Attention | None:
     kind = docs.schema["doc_id"].dataType.simpleString()
     # at most 2 x MAX_SIDE bags of TRAIN_BAG x WIDTH floats; sorted, so that the order of tasks has no influence
-    got = training(docs, labels).mapInArrow(_bags, f"doc_id {kind}, x binary, quality int").limit(2 * MAX_SIDE).collect()
+    got = training(docs, labels).mapInArrow(common.lean(_bags), f"doc_id {kind}, x binary, quality int").limit(2 * MAX_SIDE).collect()
     got = sorted(got, key=lambda r: (r["doc_id"], bytes(r["x"])))
     y = np.array([r["quality"] for r in got], float)
     if not len(y) or y.min() == y.max():
@@ -187,7 +187,7 @@ def scored(docs: DataFrame, model: Attention | None, keep: list[str]) -> DataFra
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s, pa.float64())], [*keep, "score"])
 
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, F.col("text").alias("_scored")).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*keep, F.col("text").alias("_scored")).mapInArrow(common.lean(run), f"{schema}, score double")
 
 
 def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

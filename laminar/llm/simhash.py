@@ -54,7 +54,7 @@ def _prints(size: int) -> callable:
 def fingerprints(docs: DataFrame, keys: list[str], size: int = 3) -> DataFrame:
     """`keys` and fp (long: the bits of the fingerprint). A narrow map."""
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return docs.select(*keys, "text").mapInArrow(_prints(size), f"{schema}, fp bigint")
+    return docs.select(*keys, "text").mapInArrow(common.lean(_prints(size)), f"{schema}, fp bigint")
 
 
 def ball(fp: Column, radius: int) -> Column:

@@ -193,7 +193,7 @@ def chosen(counts: DataFrame, toxic: DataFrame, n1: int, n0: int) -> dict[str, f
     rows = [r for r in rows if chance(r["a"], r["b"], n1 / (n1 + n0)) * max(1, tried) < SURE]
     if not rows:
         return {}
-    met = toxic.mapInArrow(_contexts([r["pattern"] for r in rows]), "pattern string, context string").groupBy("pattern").agg(F.count_distinct("context").alias("n"))
+    met = toxic.mapInArrow(common.lean(_contexts([r["pattern"] for r in rows])), "pattern string, context string").groupBy("pattern").agg(F.count_distinct("context").alias("n"))
     contexts = {r["pattern"]: r["n"] for r in met.collect()}
     # a beginning that one longer pattern accounts for adds nothing
     further: dict[str, int] = {}
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Lexicon({}, [])
-    pairs = rows.select("text", "toxic").mapInArrow(_candidates, "pattern string, toxic int")
+    pairs = rows.select("text", "toxic").mapInArrow(common.lean(_candidates), "pattern string, toxic int")
     counts = pairs.groupBy("pattern").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b")).where("a + b >= 3")
     counts = common.written(counts, "toxicity-patterns")
     lexicon = Lexicon(chosen(counts, rows.where("toxic = 1").select("text"), sizes[1], sizes[0]), [f" {e} " for e in EXCEPTIONS])
@@ -227,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
             x = [lexicon.features(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([list(v) for v in x], pa.list_(pa.float64())), b.column("toxic")], ["x", "toxic"])
 
-    got = rows.select("text", "toxic").mapInArrow(measured, "x array<double>, toxic int").collect()  # a few numbers a sample row
+    got = rows.select("text", "toxic").mapInArrow(common.lean(measured), "x array<double>, toxic int").collect()  # a few numbers a sample row
     got = sorted((list(r["x"]), r["toxic"]) for r in got)
     full = {r["toxic"]: r["n"] for r in labels.where("toxic in (0, 1)").where(common.crc_mod(F.col("doc_id"), 3) != 1).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     y = np.array([t for _, t in got], float)
@@ -260,18 +260,15 @@ def scored(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s, pa.float64())], [*keep, "score"])
 
     schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select(*keep, F.col("text").alias("_scored")).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*keep, F.col("text").alias("_scored")).mapInArrow(common.lean(run), f"{schema}, score double")
 
 
 def clean_rows(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The rows of `docs`, whatever their columns, that are not predicted toxic."""
     packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
 
-    @F.arrow_udf("double")
-    def score(text: pa.Array) -> pa.Array:
-        return pa.array([lexicon.score(lexicon.features(t.as_py())) for t in text], pa.float64())
-
-    return packed.where(score("text") < THRESHOLD).select("_row.*")
+    out = scored(packed, lexicon, ["_row"])
+    return out.where(F.col("score") < THRESHOLD).select("_row.*")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
