@@ -66,7 +66,9 @@ def speakers(boxes: DataFrame, tails: DataFrame, limit: float = MAX_ANGLE) -> Da
 
 def bubbles_by_panel(panels: DataFrame, bubbles: DataFrame, fields: list[str]) -> DataFrame:
     """Panels with their bubbles as an array in order of idx; empty panels stay. Bubbles without a panel come with a null panel."""
-    nested = bubbles.groupBy("page_id", F.col("panel_idx").alias("idx")).agg(F.sort_array(F.collect_list(F.struct(F.col("idx").alias("i"), *fields))).alias("bubbles"))
-    out = panels.select("page_id", "idx", F.lit(True).alias("_p")).join(nested, on=[panels["page_id"] == nested["page_id"], panels["idx"].eqNullSafe(nested["idx"])], how="full")
+    item = F.struct(F.col("idx").alias("i"), *fields)
+    nested = bubbles.groupBy(F.col("page_id").alias("_bp"), F.col("panel_idx").alias("_bi")).agg(F.sort_array(F.collect_list(item)).alias("bubbles"))
+    every = panels.select(F.col("page_id").alias("_pp"), F.col("idx").alias("_pi"))
+    out = every.join(nested, (F.col("_pp") == F.col("_bp")) & F.col("_pi").eqNullSafe(F.col("_bi")), "full")
     none = F.array().cast(nested.schema["bubbles"].dataType)
-    return out.select(F.coalesce(panels["page_id"], nested["page_id"]).alias("page_id"), F.coalesce(panels["idx"], nested["idx"]).alias("panel_idx"), F.coalesce("bubbles", none).alias("bubbles"))
+    return out.select(F.coalesce("_pp", "_bp").alias("page_id"), F.coalesce("_pi", "_bi").alias("panel_idx"), F.coalesce("bubbles", none).alias("bubbles"))

@@ -13,24 +13,25 @@ LINE_TYPES = ["dialogue", "narration", "thought"]
 STAGES = ["panel_detection", "bubble_detection", "vlm_extraction", "character_embedding", "script_generation", "tts", "animation", "music_sfx", "compositing"]
 
 
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+#: DDL by stage; readers take it as it is, artifact() makes it a StructType (which needs a session).
+ARTIFACTS: dict[str, str] = {
+    "panel_detection": "page_id string, image_path string, panels array<struct<panel_id:string,bbox:array<double>,polygon:array<array<double>>,reading_order_index:int>>",
+    "bubble_detection": "page_id string, panels array<struct<panel_id:string,bubbles:array<struct<bubble_id:string,bbox:array<double>,type:string,tail_point:array<double>,attributed_character_bbox:array<double>,attribution_confidence:double>>>>",
+    "vlm_extraction": "page_id string, panels array<struct<panel_id:string,action_description:string,setting:string,mood:string,onomatopoeia:array<string>,bubbles:array<struct<bubble_id:string,dialogue_text:string,ocr_confidence:double>>>>",
+    "character_embedding": "characters array<struct<character_id:string,representative_crop:string,name:string>>, panel_assignments array<struct<panel_id:string,bubble_id:string,character_id:string,similarity:double>>",
+    "script_generation": "page_id string, script_lines array<struct<panel_id:string,bubble_id:string,character_id:string,type:string,text:string,emotion:string,intensity:int>>",
+    "tts": "page_id string, lines array<struct<panel_id:string,bubble_id:string,character_id:string,audio_path:string,duration_sec:double>>",
+    "animation": "page_id string, clips array<struct<panel_id:string,clip_path:string,duration_sec:double,motion_prompt:string>>",
+    "music_sfx": "music_tracks array<struct<scene_id:string,pages:array<string>,path:string>>, sfx array<struct<panel_id:string,onomatopoeia:string,path:string>>",
+    "compositing": "comic_id string, entries array<struct<panel_id:string,start_sec:double,end_sec:double,clip_path:string,dialogue_audio_paths:array<string>,music_path:string,sfx_paths:array<string>>>, output_path string",
+}
 
+STORE = "clusters array<struct<character_id:string,members:array<array<double>>,count:int,representative_crop:string,crop_paths:array<string>>>"
+LOG = "type string, character_id string, a string, b string, `from` string, `to` string, `into` string, sim double, same boolean, sizes array<int>"
 
-ARTIFACTS: dict[str, T.StructType] = {
-    "panel_detection": _struct("page_id string, image_path string, panels array<struct<panel_id:string,bbox:array<double>,polygon:array<array<double>>,reading_order_index:int>>"),
-    "bubble_detection": _struct("page_id string, panels array<struct<panel_id:string,bubbles:array<struct<bubble_id:string,bbox:array<double>,type:string,tail_point:array<double>,attributed_character_bbox:array<double>,attribution_confidence:double>>>>"),
-    "vlm_extraction": _struct("page_id string, panels array<struct<panel_id:string,action_description:string,setting:string,mood:string,onomatopoeia:array<string>,bubbles:array<struct<bubble_id:string,dialogue_text:string,ocr_confidence:double>>>>"),
-    "character_embedding": _struct("characters array<struct<character_id:string,representative_crop:string,name:string>>, panel_assignments array<struct<panel_id:string,bubble_id:string,character_id:string,similarity:double>>"),
-    "script_generation": _struct("page_id string, script_lines array<struct<panel_id:string,bubble_id:string,character_id:string,type:string,text:string,emotion:string,intensity:int>>"),
-    "tts": _struct("page_id string, lines array<struct<panel_id:string,bubble_id:string,character_id:string,audio_path:string,duration_sec:double>>"),
-    "animation": _struct("page_id string, clips array<struct<panel_id:string,clip_path:string,duration_sec:double,motion_prompt:string>>"),
-    "music_sfx": _struct("music_tracks array<struct<scene_id:string,pages:array<string>,path:string>>, sfx array<struct<panel_id:string,onomatopoeia:string,path:string>>"),
-    "compositing": _struct("comic_id string, entries array<struct<panel_id:string,start_sec:double,end_sec:double,clip_path:string,dialogue_audio_paths:array<string>,music_path:string,sfx_paths:array<string>>>, output_path string"),
-}
 
-STORE = _struct("clusters array<struct<character_id:string,members:array<array<double>>,count:int,representative_crop:string,crop_paths:array<string>>>")
-LOG = _struct("type string, character_id string, a string, b string, `from` string, `to` string, `into` string, sim double, same boolean, sizes array<int>")
+def artifact(stage: str) -> T.StructType:
+    return T.StructType.fromDDL(ARTIFACTS[stage])
 
 
 def _each(array: str, test) -> Column:

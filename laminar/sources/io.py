@@ -40,7 +40,7 @@ def read_artifacts(spark: SparkSession, path: str | list[str], stage: str, stric
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """value: each file's text as it is."""
-    return spark.read.option("wholetext", "true").text(path)
+    return spark.read.text(path, wholetext=True)
 
 
 def read_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
