@@ -8,8 +8,6 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit
-
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")

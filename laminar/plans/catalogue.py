@@ -68,12 +68,13 @@ def with_boxes(body: str) -> str:
     return f"WITH RECURSIVE {BOXES}{body}"
 
 
-B = F.struct("x", "y", "w", "h")
+def whole_box() -> Column:
+    return F.struct("x", "y", "w", "h")
 
 
 @query("bbox_center", with_boxes(" SELECT page_id, kind, idx, x + w / 2 AS cx, y + h / 2 AS cy FROM boxes"))
 def bbox_center(spark, sf_dir):
-    c = G.center(B)
+    c = G.center(whole_box())
     return boxes(spark, sf_dir).select("page_id", "kind", "idx", c["x"].alias("cx"), c["y"].alias("cy"))
 
 
@@ -85,7 +86,7 @@ def bbox_convert(spark, sf_dir):
 
 @query("head_crop", with_boxes(" SELECT page_id, idx, round(x + (w - w * 0.7::DOUBLE) / 2, 6) AS x, y, round(w * 0.7::DOUBLE, 6) AS w, round(h * 0.45::DOUBLE, 6) AS h FROM boxes WHERE kind = 'character'"))
 def head_crop(spark, sf_dir):
-    b = G.head_crop(B)
+    b = G.head_crop(whole_box())
     return boxes(spark, sf_dir).where("kind = 'character'").select("page_id", "idx", r6(b["x"]).alias("x"), b["y"].alias("y"), r6(b["w"]).alias("w"), r6(b["h"]).alias("h"))
 
 
@@ -94,7 +95,7 @@ def head_crop(spark, sf_dir):
 SELECT page_id, idx, CAST(trunc(x) AS INT) AS x1, CAST(trunc(y) AS INT) AS y1, CAST(trunc(x) AS INT) + CAST(trunc(w) AS INT) AS x2, CAST(trunc(y) AS INT) + CAST(trunc(h) AS INT) AS y2 FROM c"""))
 def int_crop(spark, sf_dir):
     c = boxes(spark, sf_dir).where("kind = 'character'").select("page_id", "idx", (F.col("x") / 3 - 100).alias("x"), (F.col("y") / 7).alias("y"), (F.col("w") / 3).alias("w"), (F.col("h") / 9).alias("h"))
-    b = G.int_box(B)
+    b = G.int_box(whole_box())
     return c.select("page_id", "idx", *[b[k].alias(k) for k in ("x1", "y1", "x2", "y2")])
 
 
@@ -158,7 +159,7 @@ def panel_containment(spark, sf_dir):
 SELECT page_id, idx, idx2, round(CASE WHEN least(h, h2) > 0 THEN greatest(0, least(y + h, y2 + h2) - greatest(y, y2)) / least(h, h2) ELSE 0 END, 6) AS overlap FROM p WHERE idx2 IS NOT NULL"""))
 def y_overlap_neighbours(spark, sf_dir):
     w = Window.partitionBy("page_id").orderBy("idx")
-    p = boxes(spark, sf_dir).where("kind = 'panel'").select("page_id", "idx", B.alias("a"), F.lead(B).over(w).alias("b"), F.lead("idx").over(w).alias("idx2")).where("idx2 is not null")
+    p = boxes(spark, sf_dir).where("kind = 'panel'").select("page_id", "idx", whole_box().alias("a"), F.lead(whole_box()).over(w).alias("b"), F.lead("idx").over(w).alias("idx2")).where("idx2 is not null")
     return p.select("page_id", "idx", "idx2", r6(G.y_overlap(F.col("a"), F.col("b"))).alias("overlap"))
 
 

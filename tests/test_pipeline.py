@@ -155,3 +155,13 @@ def test_entry_contract(spark):
     q, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(q) and len(q) > 40
     assert entry.entry(spark).limit(5).count() == 5
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 30)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True, timeout=120, check=True)
+    assert out.stdout.strip() == "True"
