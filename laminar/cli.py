@@ -1,4 +1,4 @@
-"""Command line: run-stage, doctor, inspect.
+"""Command line: run, run-stage, doctor, inspect. Finished pages come from the cache, so running again resumes.
 
 python -m laminar.cli doctor --config pipeline.yaml
 python -m laminar.cli inspect --path artifacts/page.json
@@ -26,6 +26,13 @@ def main(args: list[str] | None = None) -> int:
     run.add_argument("--cache", required=True)
     run.add_argument("--table", action="append", default=[], help="name=path of an input table as Parquet")
     run.add_argument("--force", action="store_true")
+    span = sub.add_parser("run", help="a range of stages")
+    span.add_argument("--from", dest="first")
+    span.add_argument("--to", dest="last", default="character_embedding")
+    for name in ("--config", "--images", "--cache"):
+        span.add_argument(name, required=True)
+    span.add_argument("--table", action="append", default=[])
+    span.add_argument("--force", action="store_true")
     doctor = sub.add_parser("doctor")
     doctor.add_argument("--config", required=True)
     inspect = sub.add_parser("inspect")
@@ -42,7 +49,8 @@ def main(args: list[str] | None = None) -> int:
         config.validate()
         pages = io.page_images(spark, a.images, content=True)
         pipeline = Pipeline(config, Cache(spark, a.cache), inputs={k: spark.read.parquet(v) for k, v in (t.split("=", 1) for t in a.table)})
-        out = pipeline.run(pages, a.stage, a.stage, a.force)[a.stage]
+        first, last = (a.stage, a.stage) if a.command == "run-stage" else (a.first, a.last)
+        out = pipeline.run(pages, first, last, a.force)[last]
         for r in io.as_json(out).toLocalIterator():
             print(r["json"])
     return 0

@@ -149,6 +149,48 @@ def test_artifacts_and_reports(spark, tmp_path):
     assert io.character_report(index).first()["report"].split("\n") == ["=== known characters so far: 1 ===", "  char_000  name=None", "", "=== p assignments ===", "  p_p000: char_000 (similarity=0.50)"]
 
 
+def test_model_seams(spark):
+    from laminar.operators import refine
+    from laminar.plans import models
+
+    found = models.detect(pages(spark), lambda: 2, lambda m, data: {"panel": [(0, 0, m, len(data), 0.9)], "text": []})
+    assert sorted((r["page_id"], r["kind"], r["idx"], r["x2"], r["y2"]) for r in found.collect()) == [("p1", "panel", 0, 2.0, 3.0), ("p2", "panel", 0, 2.0, 3.0)]
+    vec = models.mapped(pages(spark), ["content"], "v", "array<double>", lambda: 1.5, lambda m, c: [m, float(len(c))], ("embed",))
+    assert [r["v"] for r in vec.collect()] == [[1.5, 3.0]] * 2
+    rows = [("c", k, 0, v, f"{k}") for k, v in enumerate(([1.0, 0.0], [0.9, 0.1], [0.0, 1.0]))]
+    m = spark.createDataFrame(rows, "comic string, cluster int, pos long, v array<double>, crop string")
+    out, _ = refine.refine(m, models.verdicts(lambda: None, lambda _, a, b: True, ("v",)))
+    assert out.select("cluster").distinct().count() == 2
+    known = spark.createDataFrame([("0", "1", False)], "crop_a string, crop_b string, same boolean")
+    out, _ = refine.refine(m, models.stored_verdicts(known))
+    assert out.select("cluster").distinct().count() == 3
+    nested = spark.createDataFrame([("p", [("a", [("x", "t", 0.5)]), ("b", [])])], "page_id string, panels array<struct<panel_id:string,bubbles:array<struct<bubble_id:string,dialogue_text:string,ocr_confidence:double>>>>")
+    assert tuple(models.panel_counts(nested).first()) == ("p", 2, 1)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from laminar import cli
+
+    (tmp_path / "c.yaml").write_text(CONFIG)
+    (tmp_path / "pages" / "c").mkdir(parents=True)
+    for p in ("p1", "p2"):
+        (tmp_path / "pages" / "c" / f"{p}.jpg").write_bytes(p.encode())
+    tables = []
+    for name, df in inputs(spark).items():
+        df.write.parquet(str(tmp_path / name))
+        tables += ["--table", f"{name}={tmp_path / name}"]
+    common = ["--config", str(tmp_path / "c.yaml"), "--images", str(tmp_path / "pages"), "--cache", str(tmp_path / "cache"), *tables]
+    for _ in range(2):
+        assert cli.main(["run-stage", "panel_detection", *common]) == 0
+        lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+        assert sorted(x["page_id"] for x in lines) == ["p1", "p2"]
+    assert cli.main(["run", "--to", "bubble_detection", *common]) == 0
+    assert "p1_b000" in capsys.readouterr().out
+    assert cli.main(["doctor", "--config", str(tmp_path / "c.yaml")]) == 0 and "magi" in capsys.readouterr().out
+    (tmp_path / "x.json").write_text("{raw}")
+    assert cli.main(["inspect", "--path", str(tmp_path / "x.json")]) == 0 and "{raw}" in capsys.readouterr().out
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as entry
 
