@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from laminar.functions import color, geometry as G, text as X, vectors as V
+from laminar.shipping import ship
 from laminar.operators import attribution, identity, layout, raster, refine
 
 from . import pipeline
@@ -33,6 +34,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
