@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from laminar.shipping import ship
+
 #: Runs of white space between words; the complement of `[^\x20\x09-\x0D]+`.
 SPACE_RE = r"[\x20\x09-\x0D]+"
 
@@ -18,6 +20,7 @@ BATCH_ROWS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(BATCH_ROWS))
