@@ -141,8 +141,8 @@ def _blocks(kind: pa.DataType) -> callable:
     return run
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """The blocks as a table bucketed by block in the shared warehouse or folder, so that later joins on block don't move it."""
+def blocks(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The blocks as a table bucketed by block in the shared folder, so that later joins on block don't move it, and the number of buckets."""
     spark = docs.sparkSession
     field = docs.schema["doc_id"]
     kind = field.dataType
@@ -155,7 +155,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     name = f"katz_blocks_{uuid.uuid4().hex}"
     buckets = max(1, min(20_000, math.ceil(size / (6 * BLOCK_TOKENS))))
     made.write.format("parquet").option("path", f"{common.shared_dir(spark)}/{name}").bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), buckets
 
 
 # ---- step 2: unigrams
@@ -397,8 +397,9 @@ def _stats(table: DataFrame) -> np.ndarray:
     return total
 
 
-def _answers(table: DataFrame, *cols: str) -> DataFrame:
-    return table.where("kind = 'answer'").select("block", F.struct("part", *cols).alias("x")).groupBy("block").agg(F.collect_list("x").alias("x"))
+def _answers(table: DataFrame, buckets: int, *cols: str) -> DataFrame:
+    """block and its answers, dealt as the blocks are, so that they move once: for the grouping and the join on block."""
+    return table.where("kind = 'answer'").select("block", F.struct("part", *cols).alias("x")).repartition(buckets, "block").groupBy("block").agg(F.collect_list("x").alias("x"))
 
 
 def written_by_kind(df: DataFrame, name: str) -> DataFrame:
@@ -413,7 +414,7 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    table = blocks(docs)
+    table, buckets = blocks(docs)
     facts = table.agg(F.sum("n").alias("n"), F.sum(F.aggregate(F.transform("held", lambda h: F.when(h, 0).otherwise(1)), F.lit(0), lambda a, x: a + x)).alias("starts")).first()
     tokens, starts = facts["n"] or 0, facts["starts"] or 0
     size = min(max(PART_TOKENS[0], tokens // RANGES), PART_TOKENS[1])
@@ -427,7 +428,7 @@ def score(docs: DataFrame) -> DataFrame:
     for r in uni.where("kind = 'model'").select("a", "b").mapInArrow(_frequent(hot), "h bigint").collect():
         frequent.append(np.uint64(r["h"] & (2**64 - 1)))
     state = ["block", "ids", "held", "lens", "seq", "uniq", "counts"]
-    with_words = table.select(*state).join(_answers(uni, "a").withColumnRenamed("x", "answers"), "block")
+    with_words = table.select(*state).join(_answers(uni, buckets, "a").withColumnRenamed("x", "answers"), "block")
     sent = with_words.drop("ids").mapInArrow(common.lean(_send_pairs(parts, starts, hot)), "part int, block bigint, heads binary, follow binary, bits binary, counts binary, words binary")
     bi = written_by_kind(sent.groupBy("part").applyInArrow(_merge_pairs(np.array(frequent, np.uint64)), OUT), "katz-bigrams")
     d2 = discounts(_stats(bi))
@@ -437,7 +438,7 @@ def score(docs: DataFrame) -> DataFrame:
         few, mass = hot_stats.get(h, (np.zeros(2 * K, np.int64), 0))
         hot_stats[h] = (few + np.frombuffer(bytes(r["b"]), np.int64), mass + int(np.frombuffer(bytes(r["c"]), np.int64)[0]))
     kind = docs.schema["doc_id"].dataType
-    full = with_words.join(_answers(bi, "a", "b", "c").withColumnRenamed("x", "pairs"), "block")
+    full = with_words.join(_answers(bi, buckets, "a", "b", "c").withColumnRenamed("x", "pairs"), "block")
     out = full.mapInArrow(common.lean(_score(low, d2, parts, starts, hot, hot_stats, to_arrow_type(kind))), f"doc_id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(low.n).cast("long").alias("train_tokens"), "base_score", "score")
 
