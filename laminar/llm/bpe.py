@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
-#: Entries of a worker's table of pieces and of pairs; either is emptied when full.
-CACHE = 150_000
+#: Entries of a worker's tables of pieces and of pairs. A full table of pieces becomes the old one, whose entries come back when they are met; one of pairs is emptied.
+CACHE = 200_000
 #: Longer pieces are not remembered.
 CACHED_CHARS = 40
 
@@ -82,6 +82,7 @@ class Bpe:
         self.vocab = ordinary
         self.compatible: dict[tuple[int, int], bool] = {}
         self.seen: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def fits(self, a: int, b: int) -> bool:
         """Whether BPE over the joined bytes of a and b ends with just a, b."""
@@ -155,10 +156,11 @@ class Bpe:
             for p in self.pieces(part):
                 ids = seen.get(p)
                 if ids is None:
-                    ids = self.piece(p)
+                    ids = self.old.get(p) or self.piece(p)
                     if len(p) <= CACHED_CHARS:
                         if len(seen) >= CACHE:
-                            seen.clear()
+                            self.old, self.seen = seen, {}
+                            seen = self.seen
                         seen[p] = ids
                 out += ids
         return out

@@ -2,8 +2,8 @@
 
 Every passage of PASSAGE words is encoded (character classes, word shapes, repetition), a gated attention learned from document labels weighs
 the passages, and the weighted representation is scored. Trained on at most MAX_SIDE documents of either label (smallest hash of doc_id first);
-the encoding runs on the executors, the training, over bags of a few numbers a passage, on the driver. All of a text's passages count,
-in training and in scoring; scoring is a narrow map that holds one document's passages at a time.
+the encoding runs on the executors, the training, over bags of a few numbers a passage, on the driver. A training bag has at most TRAIN_BAG passages, spread evenly
+over the whole text; in scoring all passages of a text count. Scoring is a narrow map that holds one document's passages at a time.
 
 Defined results: null, empty and blank texts are one empty passage; without training rows of both labels the score is 0.5; repeated rows are scored each;
 an empty table gives no rows. Labels are read only for training rows and never enter a score.
