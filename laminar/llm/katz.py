@@ -39,7 +39,7 @@ from . import common
 BLOCK_TOKENS = 1_000_000
 #: Tokens whose pairs meet in one range: total / RANGES within these bounds.
 RANGES, PART_TOKENS = 200, (1_000_000, 4_000_000)
-#: Good-Turing discounts apply to counts up to K.
+#: Good-Turing discounts apply to counts up to K, the same way at every size.
 K = 5
 W_BITS = 40
 
@@ -202,15 +202,28 @@ def _merge_words(table: pa.Table) -> pa.Table:
     return _out(rows)
 
 
+def smoothed(n: np.ndarray) -> float | None:
+    """The slope of log n_r over log r, r = 1 .. K + 1, as in Simple Good-Turing: a count of zero is left out and its share goes to its neighbours."""
+    r = np.flatnonzero(n > 0) + 1.0
+    if len(r) < 2:
+        return None
+    gap = np.append(r[1:], 2 * r[-1] - np.append(0.0, r)[-2]) - np.append(0.0, r[:-1])
+    x, y = np.log(r), np.log(2 * n[n > 0] / gap)
+    return float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum())
+
+
 def discounts(n: np.ndarray) -> list[float]:
-    """d(1) .. d(K) from counts of counts, by Good-Turing as Katz uses it; if these are out of (0, 1], absolute discounting."""
-    n = [float(x) for x in n[: K + 1]]
-    if all(x > 0 for x in n):
-        rest = (K + 1) * n[K] / n[0]
-        d = [((r + 1) * n[r] / n[r - 1] / r - rest) / (1 - rest) if rest < 1 else 0.0 for r in range(1, K + 1)]
-        if all(0 < x < 1 for x in d):
-            return d
-    cut = n[0] / (n[0] + 2 * n[1]) if n[0] > 0 else 0.5
+    """d(1) .. d(K) from counts of counts, by Good-Turing as Katz uses it, over counts of counts smoothed by a log-log line.
+
+    Raw ratios leave (0, 1) as soon as groups of copies raise one n_r; those of a line steeper than 1 / r never do. Only if there is no such line
+    (fewer than two of n_1 .. n_K+1 are above zero, or they hardly fall) it is absolute discounting.
+    """
+    n = np.asarray(n[: K + 1], float)
+    slope = smoothed(n)
+    if slope is not None and slope < -1 - 1e-6:
+        rest = (K + 1) ** (slope + 1)
+        return [((1 + 1 / r) ** (slope + 1) - rest) / (1 - rest) for r in range(1, K + 1)]
+    cut = float(n[0] / (n[0] + 2 * n[1])) if n[0] > 0 else 0.5
     cut = min(0.95, max(0.05, cut))
     return [(r - cut) / r for r in range(1, K + 1)]
 

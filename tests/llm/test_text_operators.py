@@ -394,6 +394,51 @@ def test_katz_matches_plain_version(spark, docs, block, monkeypatch):
         assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-8 and abs(a[6] - b[6]) < 1e-8
 
 
+def plain_discounts(n):
+    """Katz's discounts with expected counts of counts from a log-log line; for tables without gaps."""
+    import numpy as np
+
+    slope, at = np.polyfit(np.log(range(1, 7)), np.log(n[:6]), 1)
+    e = [None, *(float(np.exp(at + slope * np.log(r))) for r in range(1, 7))]
+    rest = 6 * e[6] / e[1]
+    return [((r + 1) * e[r + 1] / e[r] / r - rest) / (1 - rest) for r in range(1, 6)]
+
+
+#: Counts of counts of words and of pairs at sf0.1; groups of copies raise n_5.
+COPIED = {
+    (200420, 57120, 23804, 13644, 12859, 6775): [0.43, 0.63, 0.72, 0.78, 0.82],
+    (1482341, 227973, 46941, 19718, 17404, 6993): [0.23, 0.43, 0.56, 0.63, 0.69],
+}
+
+
+@pytest.mark.parametrize("n", COPIED)
+def test_katz_discounts_stay_good_turing_with_copies(n):
+    got = katz.discounts(n)
+    assert got == pytest.approx(plain_discounts(n), abs=1e-9) and got == pytest.approx(COPIED[n], abs=0.006)
+
+
+def test_katz_discounts_of_thin_tables():
+    # gaps are bridged, and what has no falling line is discounted by a constant
+    assert all(0 < d < 1 for n in ([0] * 6, [7, 0, 0, 0, 0, 0], [5, 5, 5, 5, 5, 5], [0, 0, 0, 0, 9, 0], [9, 0, 2, 0, 0, 1], [0, 8, 0, 3, 0, 1]) for d in katz.discounts(n))
+    assert katz.discounts([9, 0, 2, 0, 0, 1]) == sorted(katz.discounts([9, 0, 2, 0, 0, 1])) != [(r - 0.95) / r for r in range(1, 6)]
+    assert katz.discounts([5] * 6) == pytest.approx([(r - 1 / 3) / r for r in range(1, 6)])
+
+
+def test_katz_scores_with_groups_of_copies(spark, monkeypatch):
+    r = random.Random(5)
+    texts = [" ".join(f"w{int(400 * r.random() ** 3)}" if k % 5 else f"v{int(9000 * r.random() ** 2)}" for k in range(60)) for _ in range(150)]
+    texts += [t for i in range(40) for t in [" ".join(f"c{i}x{k}" for k in range(30))] * 5]
+    rows = [(2 * i, t) for i, t in enumerate(texts)]
+    kept = [t for d, t in rows if brute.crc_text(d) % 5 != 1]
+    assert len(kept) < len(texts)
+    monkeypatch.setattr(katz, "discounts", plain_discounts)
+    want = sorted(plain_katz(rows))
+    monkeypatch.undo()
+    got = sorted(map(tuple, katz.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    for a, b in zip(got, want, strict=True):
+        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-8 and abs(a[6] - b[6]) < 1e-8
+
+
 def test_katz_of_nothing(spark, none):
     assert katz.score(none).count() == 0
 
