@@ -2,7 +2,7 @@
 
 Folding: A-Z to lower case, lookalike letters of other scripts and digits or signs that stand for letters to the Latin letter, everything
 that is no letter to a space. Lexicon entries are whole words (` idiot `) or word beginnings (` vequ`), learned from labelled rows: those of MAX_SIDE toxic
-and MAX_SIDE clean training documents (smallest hash of doc_id first) whose document frequency is pure enough. Counting is a Spark aggregation; only
+and MAX_SIDE clean training texts (distinct ones, so that copies count once; smallest hash of doc_id first) whose document frequency is pure enough. Counting is a Spark aggregation; only
 the entries, LEXICON at most, reach the driver. A match inside an exception phrase doesn't count. The score is a logistic function of
 the summed weights and of the weights per 100 words.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bound of the training sample: labelled documents of either kind.
+#: Bound of the training sample: distinct labelled texts of either kind.
 MAX_SIDE = 3_000
 LEXICON = 2_000
 PREFIX = (4, 10)
@@ -163,12 +163,19 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def training(docs: DataFrame, labels: DataFrame, bound: int = MAX_SIDE) -> DataFrame:
-    """doc_id, text, toxic of the bounded sample: its ids are chosen from labels alone and broadcast (2 x bound numbers)."""
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """_h, _n, toxic, first: the distinct texts of training rows, by hash and size, and of each the doc_id whose hash is smallest. A text with both labels is one of either kind."""
     rows = labels.where("doc_id is not null and toxic in (0, 1)").where(common.crc_mod(F.col("doc_id"), 3) != 1).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    sides = [rows.where(F.col("toxic") == v).orderBy(*order).limit(bound) for v in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(sides[0].unionByName(sides[1])), "doc_id")
+    known = docs.select("doc_id", F.xxhash64("text").alias("_h"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("_n")).join(rows, "doc_id")
+    return known.groupBy("_h", "_n", "toxic").agg(F.min(F.struct(F.xxhash64("doc_id").alias("order"), "doc_id")).alias("first"))
+
+
+def training(docs: DataFrame, texts: DataFrame, bound: int = MAX_SIDE) -> DataFrame:
+    """doc_id, text, toxic of the bounded sample of labelled_texts(), each text once: they are chosen by their hashes alone and broadcast (2 x bound short rows)."""
+    sides = [texts.where(F.col("toxic") == v).orderBy("first", "_h", "_n").limit(bound) for v in (0, 1)]
+    sample = sides[0].unionByName(sides[1]).select("first.doc_id", "_h", "_n", "toxic")
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where((F.xxhash64("text") == F.col("_h")) & (F.coalesce(F.octet_length("text"), F.lit(-1)) == F.col("_n")))
+    return found.dropDuplicates(["_h", "_n", "toxic"]).select("doc_id", "text", "toxic")
 
 
 def chance(a: int, b: int, share: float) -> float:
@@ -213,7 +220,8 @@ def chosen(counts: DataFrame, toxic: DataFrame, n1: int, n0: int) -> dict[str, f
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    rows = common.written(training(docs, labels), "toxicity-sample")
+    texts = common.written(labelled_texts(docs, labels), "toxicity-texts")
+    rows = common.written(training(docs, texts), "toxicity-sample")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Lexicon({}, [])
@@ -229,9 +237,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
     got = rows.select("text", "toxic").mapInArrow(common.lean(measured), "x array<double>, toxic int").collect()  # a few numbers a sample row
     got = sorted((list(r["x"]), r["toxic"]) for r in got)
-    full = {r["toxic"]: r["n"] for r in labels.where("toxic in (0, 1)").where(common.crc_mod(F.col("doc_id"), 3) != 1).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    full = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     y = np.array([t for _, t in got], float)
-    # the sample's halves weigh as the labels' do
+    # the sample's halves weigh as all labelled texts do
     weight = np.where(y == 1, full[1] / max(1, y.sum()), full[0] / max(1, (1 - y).sum()))
     lexicon.coef = logistic(np.array([x for x, _ in got]), y, weight / weight.mean())
     return lexicon

@@ -290,6 +290,22 @@ def test_toxicity_learns_words_and_scores_held_out_rows(spark):
     assert kept.columns == ["doc_id", "text", "score"] and {r["doc_id"] for r in kept.collect()} == {i for i in range(600) if i % 3}
 
 
+def test_toxicity_counts_copies_of_a_text_once(spark):
+    d, marks = toxic_sample(spark)
+    worst = "one blargh two zonkers three foozle " + " ".join(f"{c}filler" for c in "abcdefgh")
+    copies = [(1000 + i, worst) for i in range(200)] + [(1000, worst), (1000, "another text of a labelled id")]
+    d = d.unionByName(spark.createDataFrame(copies, "doc_id long, text string"))
+    marks = marks.unionByName(labels(spark, [(1000 + i, 1, 1) for i in range(200)]))
+    lexicon = toxicity.fit(d, marks)
+    assert {" blargh ", " zonkers ", " foozle "} <= set(lexicon.weights) and not any("filler" in p for p in lexicon.weights)
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(d.where("doc_id < 1000"), lexicon, ["doc_id"]).collect()}
+    assert all((s >= 0.7) == (i % 3 == 0) for i, s in got.items())
+    texts = toxicity.labelled_texts(d, marks)
+    sample = [r["text"] for r in toxicity.training(d, texts).where("toxic = 1").collect()]
+    assert len(sample) == len(set(sample)) and sample.count(worst) == 1
+    assert sorted(r["toxic"] for r in toxicity.training(d, texts, 50).collect()) == [0] * 50 + [1] * 50
+
+
 def test_toxicity_without_labels(spark, docs, none):
     lexicon = toxicity.fit(docs, labels(spark, []))
     assert {r["score"] for r in toxicity.scored(docs, lexicon, ["doc_id"]).collect()} == {0.0}
