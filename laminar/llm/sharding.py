@@ -1,21 +1,23 @@
-"""Sharding by a k-d tree: split every node at the weighted median of its widest dimension until leaves are small.
+"""Sharding by a k-d tree: split every node at the weighted median of its widest metadata dimension until leaves are small.
 
-All work is DataFrame operations. A working table of a few numbers per row is written once; each level is a handful
-of aggregations over it: the extents of every node, then a radix search for the weighted median of each node
-(histograms of BINS bins, map-side combined, one winning bin per node to the driver). Only cuts reach the driver: their
-number is bounded by the number of leaves, total bytes / target bytes.
+Dimensions are the metadata columns (text columns by the order of their first six bytes) and the size. Equal texts are one group and have
+one place in the tree: the least metadata among the group's rows. A row's key in a node is (value on the node's widest dimension, crc32 of the text), and the node is
+cut where half of its bytes lie below. If the group at that place is heavier than TOLERANCE of the node, it is set aside for the side where most of it lies and the
+rest of the node is cut so that the sides balance; this goes on while the group met is lighter than the last. Hence a group stays whole unless it is larger than half of
+a node (more than a shard): then it alone is cut inside, by doc_id and at last by row.
 
-Dimensions are numbers derived from the text alone, so equal texts have equal coordinates. The search key of a node is
-(value on the dimension, crc32 of the text), so that a cut falls between groups of equal texts; only if the group at the cut weighs
-more than TOLERANCE of the node is it cut inside, by a hash of doc_id: a group that holds a third of all rows is still
-dealt evenly.
+All work is DataFrame operations over a table of a few numbers a row, written anew for every level. A median is a radix search: histograms of BINS bins a node,
+combined map-side, of which one bin a node reaches the driver; cuts go back as array literals indexed by node. Nothing is joined or broadcast while the tree grows, and
+what reaches the driver is bounded by the number of leaves, total bytes / target bytes.
 
-Defined results: null text weighs 1 byte and has crc32 0; repeated rows each get a slot; an empty table gives no
-rows; extra columns are ignored.
+Defined results: null text weighs 1 byte and has crc32 0; null or missing metadata come first; repeated rows each get a slot (rows that agree in doc_id and text are interchangeable,
+and are cut by row); ties of a key are one place and never cut, but for the groups named above; very long texts are one row of their size and may make a shard larger than the others; an empty table gives no
+rows; columns other than doc_id, text and the dimensions are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,129 +26,166 @@ from pyspark.sql.window import Window
 
 from . import common
 
-BINS = 1024
+BINS = 2048
+#: Share of a node by which its sides may miss the half before a group is set aside.
 TOLERANCE = 0.002
 #: Rows in a numbering bucket, about.
 SLOT_ROWS = 20_000
+END = 2**62
 
 
-def _values(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
-    """A small table as literals; rows must not be empty."""
-    body = ", ".join("(" + ", ".join(f"{x}L" for x in r) + ")" for r in rows)
-    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")
+def _at(values: list, kind: str = "bigint") -> Column:
+    """The value of the row's node, from a literal array."""
+    return F.get(F.from_json(F.lit(json.dumps(values)), f"array<{kind}>"), F.col("node"))
 
 
-def _search(work: DataFrame, key: str, weight: str, halves: dict[int, int], lo_hi: dict[int, tuple[int, int]], slack: dict[int, int]) -> dict[int, tuple[int, int, int]]:
-    """For every node: (cut, weight below the cut, weight of the key at the cut).
+def _search(rows: DataFrame, key: str, targets: dict[int, int], ranges: dict[int, tuple[int, int]], size: int) -> dict[int, tuple[int, int, int]]:
+    """For every node of `targets`: the key at which the running weight reaches the target, the weight below that key, and its own; no entry if the node weighs less.
 
-    Rows with key < cut go left. Each pass splits the range that still holds the median into BINS bins. A node ends when a bin
-    boundary is within its slack of the half, or the range holds one key.
+    rows: node, w and the key, within the node's range. Each pass splits the range that holds the place into BINS bins; the least and greatest key that the bin really has are the next range.
     """
-    spark = work.sparkSession
-    open_ = {n: (lo, hi, 0) for n, (lo, hi) in lo_hi.items()}
-    done: dict[int, tuple[int, int, int]] = {}
+    open_, done = {n: (*ranges[n], 0) for n in targets}, {}
     while open_:
-        rows = [(n, lo, hi, max(1, -(-(hi - lo + 1) // BINS)), below, halves[n]) for n, (lo, hi, below) in open_.items()]
-        ranges = F.broadcast(_values(spark, rows, ["node", "lo", "hi", "step", "below", "half"]))
-        hist = (
-            work.join(ranges, "node").where(F.col(key).between(F.col("lo"), F.col("hi")))
-            .groupBy("node", "lo", "hi", "step", "below", "half", F.expr(f"({key} - lo) div step").alias("bin"))
-            .agg(F.sum(weight).alias("w"))
-        )
-        upto = F.sum("w").over(Window.partitionBy("node").orderBy("bin")) + F.col("below")
-        hist = hist.withColumn("upto", upto).where("upto >= half")
-        first = hist.groupBy("node").agg(F.min(F.struct("bin", "w", "upto", "lo", "hi", "step")).alias("x"))
-        for r in first.select("node", "x.*").collect():
-            n, start = r["node"], r["lo"] + r["bin"] * r["step"]
-            before, end = r["upto"] - r["w"], min(r["hi"], start + r["step"] - 1)
-            if r["upto"] - halves[n] <= slack[n]:
-                done[n] = (end + 1, r["upto"], 0)
-            elif halves[n] - before <= slack[n] or start == end:
-                done[n] = (start, before, r["w"] if start == end else 0)
-            else:
-                open_[n] = (start, end, before)
-                continue
-            del open_[n]
-        for n in [n for n in open_ if n not in done and open_[n][0] > open_[n][1]]:
-            del open_[n]
+        low, high, step, need, under = ([0] * size for _ in range(5))
+        for n in range(size):
+            low[n], high[n], under[n] = open_.get(n, (1, 0, 0))
+            step[n], need[n] = max(1, -(-(high[n] - low[n] + 1) // BINS)), targets.get(n, 0)
+        ranged = rows.select("node", key, "w", _at(low).alias("_lo"), _at(step).alias("_step")).where(F.col(key).between(F.col("_lo"), _at(high)))
+        bins = ranged.groupBy("node", F.expr(f"({key} - _lo) div _step").alias("bin")).agg(F.sum("w").alias("w"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+        upto = F.sum("w").over(Window.partitionBy("node").orderBy("bin")) + _at(under)
+        hit = bins.withColumn("upto", upto).where((F.col("upto") >= _at(need)) & (F.col("upto") - F.col("w") < _at(need)))
+        found = {r["node"]: r for r in hit.collect()}
+        done |= {n: (r["lo"], r["upto"] - r["w"], r["w"]) for n, r in found.items() if r["lo"] == r["hi"]}
+        open_ = {n: (r["lo"], r["hi"], r["upto"] - r["w"]) for n, r in found.items() if n not in done}
     return done
 
 
-def kd_leaves(work: DataFrame, dims: list[str], weight: str, depth: int) -> DataFrame:
-    """`work` with a `node` column, 0 .. 2**depth - 1. work: dims (0 .. 2**31-1, long), node (0), weight, crc (unsigned 32 bit), tie (0 .. 2**62)."""
-    spark = work.sparkSession
+def _aside(groups: dict[int, list[tuple[int, int, int]]], size: int) -> Column:
+    """The side (0 left, 1 right) for which the row's group is set aside, or null."""
+    if not groups:
+        return F.lit(None).cast("int")
+    listed = _at([[{"v": v, "c": c, "s": s} for v, c, s in groups.get(n, [])] for n in range(size)], "array<struct<v:bigint,c:bigint,s:int>>")
+    return F.get(F.filter(listed, lambda x: (x["v"] == F.col("v")) & (x["c"] == F.col("crc"))), F.lit(0))["s"]
+
+
+def _cuts(rows: DataFrame, total: dict[int, int], ranges: dict[int, tuple[int, int]], size: int) -> tuple[dict[int, tuple[int, int, int, int]], dict[int, list]]:
+    """For every node the cut (v, crc, tie, uid), below which rows go left, and the groups set aside.
+
+    rows: node, v (within the node's range), crc, tie, uid, w.
+    """
+    word, row = dict.fromkeys(total, (0, 2**32 - 1)), dict.fromkeys(total, (0, END))
+    cuts, aside, last = {}, {}, dict.fromkeys(total, END)
+    room = {n: [w // 2, w - w // 2] for n, w in total.items()}
+    pending = dict.fromkeys(total)
+    while pending:
+        rest = rows.where(_aside(aside, size).isNull()) if aside else rows
+        by_value = _search(rest, "v", {n: max(1, room[n][0]) for n in pending}, ranges, size)
+        values = [by_value[n][0] if n in by_value else -1 for n in range(size)]
+        at_value = rest.where(F.col("v") == _at(values))
+        by_crc = _search(at_value, "crc", {n: max(1, room[n][0] - below) for n, (_, below, _) in by_value.items()}, word, size)
+        inside = {}
+        for n in list(pending):
+            if n not in by_crc:  # what is not aside weighs less than the left side takes
+                cuts[n] = (END, 0, 0, 0)
+                del pending[n]
+                continue
+            (v, below, _), (c, more, w) = by_value[n], by_crc[n]
+            short = max(0, room[n][0] - below - more)  # of the group's weight, what the left side still takes
+            slack = total[n] * TOLERANCE
+            if w > total[n] - total[n] // 2 and min(short, w - short) > slack:
+                inside[n] = (v, c, short)
+            elif min(short, w - short) > slack and w < last[n]:
+                side = 0 if (2 * short >= w and w <= room[n][0]) or w > room[n][1] else 1
+                aside.setdefault(n, []).append((v, c, side))
+                room[n][side] -= w
+                last[n] = w
+                continue
+            else:
+                cuts[n] = (v, c, END if 2 * short >= w else -1, 0)
+            del pending[n]
+        if inside:
+            here = at_value.where(F.col("crc") == _at([inside[n][1] if n in inside else -1 for n in range(size)]))
+            by_tie = _search(here, "tie", {n: max(1, short) for n, (_, _, short) in inside.items()}, word, size)
+            here = here.where(F.col("tie") == _at([by_tie[n][0] if n in by_tie else -1 for n in range(size)]))
+            by_row = _search(here, "uid", {n: max(1, inside[n][2] - below) for n, (_, below, _) in by_tie.items()}, row, size)
+            for n, (v, c, short) in inside.items():
+                uid, below, w = by_row[n]
+                cuts[n] = (v, c, by_tie[n][0], uid + (2 * (short - by_tie[n][1] - below) >= w))
+    return cuts, aside
+
+
+def kd_leaves(work: DataFrame, dims: list[str], depth: int) -> DataFrame:
+    """`work` with its `node`, 0 .. 2**depth - 1. work: dims (0 .. 2**62), node (0), w (1 or more), crc, tie and uid (0 .. 2**62)."""
     spans: dict[str, int] = {}
-    for _ in range(depth):
-        ask = [F.sum(weight).alias("w")] + [f(d).alias(f"{k}_{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max))]
+    for level in range(depth):
+        ask = [F.sum("w").alias("w")] + [f(d).alias(f"{k}_{d}") for d in dims for k, f in (("lo", F.min), ("hi", F.max))]
         nodes = {r["node"]: r for r in work.groupBy("node").agg(*ask).collect()}
         if not nodes:
             break
-        if not spans:
-            root = next(iter(nodes.values()))
-            spans = {d: max(1, root[f"hi_{d}"] - root[f"lo_{d}"]) for d in dims}
+        size = 2**level
+        spans = spans or {d: max(1, nodes[0][f"hi_{d}"] - nodes[0][f"lo_{d}"]) for d in dims}
         widest = {n: max(range(len(dims)), key=lambda i, r=r: ((r[f"hi_{dims[i]}"] - r[f"lo_{dims[i]}"]) / spans[dims[i]], -i)) for n, r in nodes.items()}
-        picked = F.broadcast(_values(spark, list(widest.items()), ["node", "dim"]))
-        value = F.coalesce(*[F.when(F.col("dim") == i, F.col(d)) for i, d in enumerate(dims)])
-        keyed = work.join(picked, "node").withColumn("key", value * F.lit(2**32) + F.col("crc"))
-        halves = {n: r["w"] // 2 for n, r in nodes.items()}
-        slack = {n: int(r["w"] * TOLERANCE) for n, r in nodes.items()}
-        lo_hi = {n: (r[f"lo_{dims[widest[n]]}"] * 2**32, r[f"hi_{dims[widest[n]]}"] * 2**32 + 2**32 - 1) for n, r in nodes.items()}
-        cuts = _search(keyed, "key", weight, halves, lo_hi, slack)
-        inside = {n: c for n, c in cuts.items() if c[2]}
-        ties = {}
-        if inside:
-            at = keyed.join(F.broadcast(_values(spark, [(n, c[0]) for n, c in inside.items()], ["node", "cut"])), "node").where("key = cut").drop("cut")
-            ties = _search(at, "tie", weight, {n: max(1, halves[n] - c[1]) for n, c in inside.items()}, {n: (0, 2**62 - 1) for n in inside}, {n: slack[n] for n in inside})
-        rows = [(n, cuts[n][0], ties[n][0] if n in ties else 0) for n in cuts]
-        if not rows:
-            break
-        known = F.broadcast(_values(spark, rows, ["node", "cut", "cut_tie"]))
-        left = (F.col("key") < F.col("cut")) | ((F.col("key") == F.col("cut")) & (F.col("tie") < F.col("cut_tie")))
-        work = keyed.join(known, "node").withColumn("node", F.col("node") * 2 + F.when(left, 0).otherwise(1)).drop("key", "dim", "cut", "cut_tie")
+        dim = _at([widest.get(n, 0) for n in range(size)], "int")
+        keyed = work.withColumn("v", F.coalesce(*[F.when(dim == i, F.col(d)) for i, d in enumerate(dims)]))
+        ranges = {n: (nodes[n][f"lo_{dims[i]}"], nodes[n][f"hi_{dims[i]}"]) for n, i in widest.items()}
+        cuts, aside = _cuts(keyed, {n: r["w"] for n, r in nodes.items()}, ranges, size)
+        limit = F.struct(*[_at([cuts[n][k] if n in cuts else 0 for n in range(size)]) for k in range(4)])
+        right = F.when(F.struct("v", "crc", "tie", "uid") < limit, 0).otherwise(1)
+        side = F.coalesce(_aside(aside, size), right) if aside else right
+        before, work = work, common.written(keyed.withColumn("node", F.col("node") * 2 + side).drop("v"), f"kd-level-{level}")
+        common.dropped(before)
     return work
 
 
 def numbered(df: DataFrame, shard: str, order: list[str], total: int) -> DataFrame:
     """Adds `slot`, gapless from 0 in each shard, without gathering a shard in one task.
 
-    Rows are numbered inside hashed buckets of about SLOT_ROWS rows, and buckets start where the ones before end.
+    Equal rows are counted first, by the partition they come from; rows are numbered inside hashed buckets of about SLOT_ROWS rows, and buckets start where the ones before end.
     """
-    spark = df.sparkSession
     n = max(1, min(100_000, math.ceil(total / SLOT_ROWS)))
-    df = df.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(n)).cast("long"))
-    counts = df.groupBy(shard, "bucket").agg(F.count("*").alias("n"))
-    # one row per shard and bucket, at most rows / SLOT_ROWS x shards
-    start = F.sum("n").over(Window.partitionBy(shard).orderBy("bucket")) - F.col("n")
-    starts = counts.select(shard, "bucket", start.alias("start"))
-    within = F.row_number().over(Window.partitionBy(shard, "bucket").orderBy(*order)) - 1
-    return df.withColumn("within", within).join(starts, [shard, "bucket"]).withColumn("slot", F.col("start") + F.col("within")).drop("start", "within", "bucket")
+    keys = df.columns
+    rows = df.groupBy(*keys, F.spark_partition_id().alias("_part")).agg(F.count("*").alias("_times"))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(n)).cast("long"))
+    counts = rows.groupBy(shard, "_bucket").agg(F.sum("_times").alias("n"))
+    # one row a shard and bucket
+    start = F.sum("n").over(Window.partitionBy(shard).orderBy("_bucket")) - F.col("n")
+    starts = counts.select(F.col(shard).alias("_s"), F.col("_bucket").alias("_b"), start.alias("_start"))
+    within = F.sum("_times").over(Window.partitionBy(shard, "_bucket").orderBy(*order, "_part")) - F.col("_times")
+    placed = rows.withColumn("_within", within).join(starts, (F.col(shard) == F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+    first = F.col("_start") + F.col("_within")
+    return placed.select(*keys, F.explode(F.sequence(first, first + F.col("_times") - 1)).alias("slot"))
 
 
-def kd_shards(docs: DataFrame, shards: int = 16, target_bytes: int | None = None) -> DataFrame:
+def coordinate(c: Column) -> Column:
+    """A whole number that orders values of a text column by their first six bytes; null is 0."""
+    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(c.cast("string").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long"), F.lit(0).cast("long"))
+
+
+def kd_shards(docs: DataFrame, shards: int = 16, target_bytes: int | None = None, metadata: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law 'bytes', shard, slot, grown_shard (null).
 
-    shards: a power of two, or target_bytes, from which it follows.
+    shards: a power of two, or target_bytes, from which it follows. metadata: columns of `docs` that are dimensions beside the size; those it lacks are left out.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    size = common.utf8_bytes(text) + 1
-    work = docs.select(
-        "doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        (F.octet_length(text) - F.length(text)).cast("long").alias("wide"), F.lit(0).cast("long").alias("node"),
-    )
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    metadata = [m for m in metadata if m in docs.columns]
+    rows = docs.select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("w"), F.crc32(text).alias("crc"), F.xxhash64(text).alias("_text"),
+        F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("tie"), *[coordinate(F.col(m)).alias(f"d_{m}") for m in metadata],
+    )
+    dims = [f"d_{m}" for m in metadata]
+    if dims:
+        groups = rows.groupBy(F.col("w").alias("_w"), F.col("_text").alias("_t")).agg(*[F.min(d).alias(d) for d in dims])
+        rows = rows.drop(*dims).join(groups, (F.col("w") == F.col("_w")) & (F.col("_text") == F.col("_t"))).drop("_w", "_t")
+    work = rows.drop("_text").select("*", F.col("w").alias("d_size"), F.monotonically_increasing_id().alias("uid"), F.lit(0).cast("long").alias("node"))
     work = common.written(work, "kd-rows")
-    facts = work.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
+    facts = work.agg(F.sum("w").alias("bytes"), F.count("*").alias("rows")).first()
     if target_bytes:
         shards = 2 ** max(0, math.ceil(math.log2(max(1, (facts["bytes"] or 0) / target_bytes))))
     depth = int(math.log2(shards))
     if 2**depth != shards:
         raise ValueError("the number of shards must be a power of two")
-    cap = F.lit(2**31 - 1).cast("long")
-    keyed = work.select(
-        "*", F.least("size", cap).alias("d_size"), F.least("wide", cap).alias("d_wide"), F.shiftright("text_crc32", 1).alias("d_hash"),
-        F.col("text_crc32").alias("crc"), F.pmod(F.xxhash64("doc_id", "size"), F.lit(2**62)).alias("tie"),
-    )
-    leaves = kd_leaves(keyed, ["d_size", "d_wide", "d_hash"], "size", depth)
-    rows = leaves.select("doc_id", "size", "text_crc32", F.col("node").cast("int").alias("shard"))
+    leaves = kd_leaves(work, [*dims, "d_size"], depth)
+    rows = leaves.select("doc_id", F.col("w").alias("size"), F.col("crc").alias("text_crc32"), F.col("node").cast("int").alias("shard"))
     return numbered(rows, "shard", ["doc_id", "text_crc32", "size"], facts["rows"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )

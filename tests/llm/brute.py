@@ -78,3 +78,66 @@ def components(rows):
         if d is not None:
             best[find(i)] = min(d, best.get(find(i), d))
     return [best.get(find(i)) for i in range(len(rows))]
+
+
+def place(value):
+    return int((value or "").encode()[:6].hex().ljust(12, "0") or "0", 16)
+
+
+def kd_shards(rows, depth, tolerance=0.002):
+    """rows: [(doc_id, text, lang, source)], ids unique -> {doc_id: shard}, by sorting every node in memory."""
+    body = {d: (t or "").encode() for d, t, _, _ in rows}
+    crc, w = {d: zlib.crc32(b) for d, b in body.items()}, {d: len(b) + 1 for d, b in body.items()}
+    least = {}
+    for d, _, lang, source in rows:
+        a, b = least.get(body[d], (2**62, 2**62))
+        least[body[d]] = min(a, place(lang)), min(b, place(source))
+    at = {d: (*least[body[d]], w[d]) for d in body}
+    spans = [max(1, max(x[i] for x in at.values()) - min(x[i] for x in at.values())) for i in range(3)] if at else []
+
+    def split(node, level, ids):
+        if level == depth or not ids:
+            return dict.fromkeys(ids, node)
+        dim = max(range(3), key=lambda i: ((max(at[d][i] for d in ids) - min(at[d][i] for d in ids)) / spans[i], -i))
+        group = lambda d: (at[d][dim], crc[d])
+        total = sum(w[d] for d in ids)
+        room, sides, last = [total // 2, total - total // 2], ([], []), float("inf")
+        rest = sorted(ids, key=lambda d: (*group(d), crc_text(d)))
+        while True:
+            heavy, run = None, 0
+            for g in dict.fromkeys(map(group, rest)):
+                members = [d for d in rest if group(d) == g]
+                size = sum(w[d] for d in members)
+                if run + size >= max(1, room[0]):
+                    heavy = members, size, max(0, room[0] - run)
+                    break
+                run += size
+            if heavy is None:
+                sides[0].extend(rest)
+                break
+            members, size, short = heavy
+            first = rest.index(members[0])
+            far = min(short, size - short) > tolerance * total
+            if size > total - total // 2 and far:
+                run = 0
+                for k, d in enumerate(members):
+                    if run + w[d] >= max(1, short):
+                        k += 2 * (short - run) >= w[d]
+                        break
+                    run += w[d]
+                first += k
+            elif far and size < last:
+                side = 0 if (2 * short >= size and size <= room[0]) or size > room[1] else 1
+                sides[side].extend(members)
+                rest = [d for d in rest if d not in set(members)]
+                room[side] -= size
+                last = size
+                continue
+            elif 2 * short >= size:
+                first += len(members)
+            sides[0].extend(rest[:first])
+            sides[1].extend(rest[first:])
+            break
+        return split(2 * node, level + 1, sides[0]) | split(2 * node + 1, level + 1, sides[1])
+
+    return split(0, 0, list(body))

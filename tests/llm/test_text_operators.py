@@ -186,21 +186,51 @@ def shard_facts(df):
     return rows, {k: sum(r["size"] for r in v) for k, v in by.items()}
 
 
+KD = "doc_id long, text string, lang string, source string"
+
+
+def kd_rows(n, seed, copies=()):
+    """Random texts with metadata; copies: (how many, words) of groups of equal texts."""
+    r = random.Random(seed)
+    rows = [(i, " ".join(words(min(400, int(r.paretovariate(1.1) * 6)), seed * 10_000 + i)), r.choice(["en", "en", "en", "de", None]), f"src{r.randrange(20)}") for i in range(n)]
+    for k, (times, size) in enumerate(copies):
+        body = " ".join(words(size, 77 + k))
+        rows += [(10_000 * (k + 1) + i, body, r.choice(["en", "fr"]), f"src{r.randrange(20)}") for i in range(times)]
+    return rows
+
+
+@pytest.mark.parametrize(("rows", "depth"), [(kd_rows(500, 1), 2), (kd_rows(300, 2, [(400, 12), (30, 9), (12, 300)]), 4), (kd_rows(3, 4), 2)], ids=["plain", "copies", "tiny"])
+def test_shards_equal_a_plain_tree(spark, rows, depth):
+    out, _ = shard_facts(sharding.kd_shards(spark.createDataFrame(rows, KD), 2**depth))
+    assert {x["doc_id"]: x["shard"] for x in out} == brute.kd_shards(rows, depth)
+
+
 def test_shards_are_even_and_keep_equal_texts(spark):
-    r = random.Random(2)
-    rows = [(i, " ".join(words(r.randrange(1, 60), i % 2500))) for i in range(4000)]
-    out, sizes = shard_facts(sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string"), 16))
-    assert len(out) == 4000 and set(sizes) == set(range(16)) and max(sizes.values()) < 1.1 * min(sizes.values())
+    rows = kd_rows(6000, 5, [(280, 40), (60, 80), (25, 100), (400, 20), (5, 300)])
+    out, sizes = shard_facts(sharding.kd_shards(spark.createDataFrame(rows, KD), 16))
+    assert len(out) == len(rows) and set(sizes) == set(range(16)) and max(sizes.values()) < 1.06 * min(sizes.values())
     shards = {}
     for x in out:
-        shards.setdefault(x["text_crc32"], set()).add(x["shard"])
-    assert sum(len(s) > 1 for s in shards.values()) < 10
+        shards.setdefault((x["text_crc32"], x["size"]), set()).add(x["shard"])
+    assert all(len(s) == 1 for s in shards.values())
+
+
+def test_only_a_group_larger_than_a_shard_is_split(spark):
+    rows = [(i, "same text for a third of all rows", "en", "a") for i in range(1500)] + [(5000 + i, " ".join(words(8, i)), "en", "b") for i in range(3000)]
+    _, sizes = shard_facts(sharding.kd_shards(spark.createDataFrame(rows, KD), 16))
+    assert len(sizes) == 16 and max(sizes.values()) < 1.05 * min(sizes.values())
+
+
+def test_metadata_decides_where_a_text_goes(spark):
+    rows = [(i, f"text {i:04}", "de" if i % 2 else "en", "x") for i in range(400)]
+    out, _ = shard_facts(sharding.kd_shards(spark.createDataFrame(rows, KD), 2))
+    assert all(x["shard"] == 1 - x["doc_id"] % 2 for x in out)
 
 
-def test_one_heavy_group_is_split(spark):
-    rows = [(i, "same text for a third of all rows") for i in range(1500)] + [(5000 + i, " ".join(words(8, i))) for i in range(3000)]
-    _, sizes = shard_facts(sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string"), 16))
-    assert len(sizes) == 16 and max(sizes.values()) < 1.15 * min(sizes.values())
+def test_repeated_rows_are_cut_by_row(spark):
+    d = spark.createDataFrame([(7, "one row many times", "en", "x")] * 640, KD).repartition(5)
+    out, sizes = shard_facts(sharding.kd_shards(d, 16))
+    assert len(out) == 640 and len(sizes) == 16 and max(sizes.values()) == min(sizes.values())
 
 
 def test_shards_of_odd_tables(spark, docs, none):
@@ -208,6 +238,8 @@ def test_shards_of_odd_tables(spark, docs, none):
     out, _ = shard_facts(sharding.kd_shards(docs))
     assert len(out) == docs.count() and {x["law"] for x in out} == {"bytes"}
     assert {x["shard"] for x in sharding.kd_shards(docs, target_bytes=10**9).collect()} == {0}
+    clash = docs.selectExpr("doc_id", "text", "size lang", "kept source", "1 w", "2 crc", "3 node", "4 uid", "5 v", "6 slot")
+    assert {x["law"] for x in sharding.kd_shards(clash).collect()} == {"bytes"}
 
 
 # ---- url filter
