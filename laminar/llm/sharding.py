@@ -174,7 +174,8 @@ def kd_shards(docs: DataFrame, shards: int = 16, target_bytes: int | None = None
     )
     dims = [f"d_{m}" for m in metadata]
     if dims:
-        groups = rows.groupBy(F.col("w").alias("_w"), F.col("_text").alias("_t")).agg(*[F.min(d).alias(d) for d in dims])
+        # written first, so that the join has exchanges of its own on both sides, whose large partitions Spark splits
+        groups = common.written(rows.groupBy(F.col("w").alias("_w"), F.col("_text").alias("_t")).agg(*[F.min(d).alias(d) for d in dims]), "kd-groups")
         rows = rows.drop(*dims).join(groups, (F.col("w") == F.col("_w")) & (F.col("_text") == F.col("_t"))).drop("_w", "_t")
     work = rows.drop("_text").select("*", F.col("w").alias("d_size"), F.monotonically_increasing_id().alias("uid"), F.lit(0).cast("long").alias("node"))
     work = common.written(work, "kd-rows")
