@@ -3,11 +3,10 @@
 Word unigrams and bigrams are hashed into BUCKETS buckets. Two multinomials over the buckets are counted: the target's over trusted documents
 (labelled good; at most TRUSTED of them, those with the smallest hash of doc_id), and the raw corpus's over all documents. The target's is smoothed towards
 the raw corpus's, by PRIOR expected counts a bucket, so that rare n-grams of documents nobody has labelled don't count against them. A document's verdict is
-the mean of log(target / raw) over its n-grams, plus SLACK over the root of their number, compared with a threshold, which is THRESHOLD less a margin
-that shrinks with the number of trusted n-grams; no randomness.
+the mean of log(target / raw) over its n-grams, plus SLACK over the root of their number, compared with THRESHOLD, the same at every size; no randomness.
 
 Counting is one pass whose rows are combined map-side (the shuffle carries at most BUCKETS rows a task); scoring is a narrow pass
-with the ratios as a literal of BUCKETS numbers. No document leaves its row.
+with the ratios, a written table of one row of BUCKETS numbers, as a scalar subquery. No document leaves its row, and no count becomes a row or a literal on the driver.
 
 Base rules, whatever the ratio: under 20 words, or over 30 % of the words in repeated windows of 8 words, fail.
 
@@ -17,9 +16,6 @@ documents, the ratio is 0 everywhere, so the base rules alone decide; an empty t
 
 from __future__ import annotations
 
-import json
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +25,7 @@ BUCKETS = 262_144
 #: Bound of the trusted sample, in documents: their ids, 8 bytes each, are broadcast.
 TRUSTED = 50_000
 PRIOR = 10
-THRESHOLD, SLACK, MARGIN = -0.03, 0.3, 20.0
+THRESHOLD, SLACK = -0.1, 0.3
 WINDOW = 8
 MIN_WORDS = 20
 
@@ -43,25 +39,28 @@ def bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1).cast("long"))
 
 
-def ratios(docs: DataFrame, trusted: DataFrame) -> tuple[list[float], float]:
-    """log(target / raw) of each bucket, from counts over all documents, and the threshold."""
+def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """One row: `ratios`, log(target / raw) of each bucket from counts over all documents, as one array. Written, so that a scalar subquery reads it."""
     marked = docs.select("doc_id", "text").join(F.broadcast(trusted.withColumn("target", F.lit(1))), "doc_id", "left")
     words = marked.select(common.split_words(F.col("text")).alias("words"), "target")
     hashed = words.select(arrays.hashes(F.col("words")).alias("h1"), "target")
     # explode() of the expression, not of a column: for a column, Catalyst adds a filter on its size, which would compute the words twice
     grams = F.explode(F.concat("h1", arrays.doubled(F.col("h1"), 1)))
     counts = hashed.select(grams.alias("h"), "target").groupBy(bucket(F.col("h")).alias("b")).agg(F.count("*").alias("raw"), F.count("target").alias("target"))
-    rows = counts.collect()  # BUCKETS rows at most
-    total, trust = sum(r["raw"] for r in rows), sum(r["target"] for r in rows)
-    weights = [0.0] * BUCKETS
-    if not trust:
-        return weights, THRESHOLD
-    for r in rows:
-        weights[r["b"]] = round(math.log((r["target"] + PRIOR) / (r["raw"] * trust / total + PRIOR)), 5)
-    return weights, THRESHOLD - MARGIN / math.sqrt(trust)
-
-
-def rules(docs: DataFrame, weights: list[float], threshold: float, extra: list[str] | None = None) -> DataFrame:
+    counts = common.written(counts, "quality-counts")
+    sums = counts.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).first()
+    share = (sums["target"] or 0) / max(1, sums["raw"] or 0)
+    every = counts.unionByName(docs.sparkSession.range(BUCKETS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("raw"), F.lit(0).cast("long").alias("target")))
+    each = every.groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    ratio = F.log((F.col("target") + PRIOR) / (F.col("raw") * share + PRIOR)) if share else F.lit(0.0)
+    # one row of BUCKETS numbers, whatever the data
+    packed = each.select("b", F.round(ratio, 5).alias("x")).agg(F.array_sort(F.collect_list(F.struct("b", "x"))).alias("all"))
+    table = common.written(packed.select(F.transform("all", lambda e: e["x"]).alias("ratios")), "quality-ratios")
+    common.dropped(counts)
+    return table
+
+
+def rules(docs: DataFrame, weights: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr (and `extra` columns)."""
     extra = extra or []
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -76,9 +75,10 @@ def rules(docs: DataFrame, weights: list[float], threshold: float, extra: list[s
     df = df.select("*", arrays.doubled(F.col("_h1"), 1).alias("_h2")).drop("_words")
     df = df.select("*", arrays.doubled(F.col("_h2"), 2).alias("_h4"))
     df = df.select("*", arrays.doubled(F.col("_h4"), 4).alias("_h8")).drop("_h4")
-    table = F.from_json(F.lit(json.dumps(weights)), "array<double>")
-    total = lambda h: F.aggregate(h, F.lit(0.0), lambda acc, x: acc + F.get(table, bucket(x).cast('int')))
-    df = df.select("*", (total(F.col("_h1")) + total(F.col("_h2"))).alias("_sum"), (F.size("_h1") + F.size("_h2")).alias("_n"), F.size("_h1").cast("long").alias("n_words")).drop("_h1", "_h2")
+    # a scalar subquery, read once; it is used once, so Catalyst puts it where it is used and it never is a column of rows
+    df = df.select("*", weights.scalar().alias("_table"))
+    total = F.aggregate(F.concat("_h1", "_h2"), F.lit(0.0), lambda acc, x: acc + F.get("_table", bucket(x).cast("int")))
+    df = df.select(*[c for c in df.columns if c not in ("_table", "_h1", "_h2")], total.alias("_sum"), (F.size("_h1") + F.size("_h2")).alias("_n"), F.size("_h1").cast("long").alias("n_words"))
     df = arrays.with_repeated(df, "_h8", "_starts").drop("_h8")
     repeats = F.coalesce(arrays.covered(F.col("_starts"), WINDOW), F.lit(0)).cast("long")
     df = df.select(
@@ -87,11 +87,11 @@ def rules(docs: DataFrame, weights: list[float], threshold: float, extra: list[s
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     df = df.withColumn("base_failed", failed)
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") + F.lit(SLACK) / F.sqrt("_n") >= threshold)).drop("_n")
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("llr") + F.lit(SLACK) / F.sqrt("_n") >= THRESHOLD)).drop("_n")
 
 
 def judge(docs: DataFrame, labels: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    return rules(docs, *ratios(docs, trusted_ids(labels)), extra=extra)
+    return rules(docs, ratios(docs, trusted_ids(labels)), extra=extra)
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
