@@ -1,20 +1,19 @@
 """Benchmark decontamination: the items' normalised word windows are a hash set that every task holds; documents are scanned against it.
 
-Built-in functions only. Window hashes of a document come from three doublings of word hashes (1, 2, 4, 8 words); membership
-is a test against a literal set, so no document is exploded or shuffled. A hit is verified by its words, not only its hash.
-Only documents with hits are compared with the items' windows.
+Built-in functions only. Window hashes of a document come from three doublings of word hashes (1, 2, 4, 8 words). The set is a hash table in one row of a
+written table, an array of slots with (hash, window, its items), which tasks read as a scalar subquery: no document is exploded or shuffled, and a window costs one look at its slot.
+A hit is verified by its words, not only its hash, and brings its items with it.
 
-The set is a literal while the benchmark has at most SET_WINDOWS windows (it is measured; 16 bytes a window).
-Beyond that, document windows are exploded and joined with the windows by a shuffle instead; results are the same.
+The set is held by every task while the benchmark has at most SET_WINDOWS distinct windows (it is counted; about 150 bytes a window).
+Beyond that, document windows are exploded as (row, position, hash) and joined with the windows' hashes by a shuffle, and only hits are compared by words; results are the same.
 
 Items with 1 to 7 words are one window of that length. Defined results: null text has no words; an item without words
-has no window; repeated items count by item_id; an empty benchmark hits nothing; an empty table gives no rows; repeated documents get a row each.
+has no window; repeated items count by item_id; an empty benchmark hits nothing; an empty table gives no rows; repeated documents get a row each; very long texts are scanned whole, their arrays
+of hashes take 8 bytes a word; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +43,9 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return w.select("item_id", size.alias("size"), F.explode(wins).alias("win")).distinct()
 
 
+HIT = "array<struct<pos:int,size:int,win:string,items:array<string>>>"
+
+
 def ladder(w: Column) -> Column:
     """The hash of a window of 8 words as documents are hashed, from its words."""
     h = [F.xxhash64(F.get(w, F.lit(i))) for i in range(SIZE)]
@@ -52,39 +54,61 @@ def ladder(w: Column) -> Column:
     return h[0]
 
 
-def _filter_in(array: str, values: list[int]) -> Column:
-    """Positions of the elements of a long array that are in the set; the list becomes a hash set of the plan."""
-    listed = ", ".join(f"{x}L" if x > -(2**63) else "-9223372036854775807L - 1" for x in values)
-    return F.expr(f"filter(transform({array}, (h, i) -> CASE WHEN h IN ({listed}) THEN i END), x -> x IS NOT NULL)")
+def hashed_windows(items: DataFrame) -> DataFrame:
+    """size, win, h, items: every distinct window, its hash and the ids of its items as text."""
+    known = items.groupBy("size", "win").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+    return known.withColumn("h", F.when(F.col("size") == SIZE, ladder(F.split("win", " "))).otherwise(F.xxhash64("size", "win")))
 
 
-def hit_windows(docs: DataFrame, items: DataFrame, extra: list[str], bound: int) -> DataFrame:
-    """docs + n_words, hits: array<struct<pos, size, win>> of the verified windows, by position."""
-    df = docs.select("doc_id", *extra, words(F.col("text")).alias("_w"))
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
-    none = "array<struct<pos:int,size:int,win:string>>"
-    found = [F.array().cast(none)]
+def window_hashes(df: DataFrame, sizes: list[int]) -> tuple[DataFrame, dict[int, str]]:
+    """df(_w) with a column of the hashes of its windows for each size, in order, and the columns' names."""
+    names = {}
     if SIZE in sizes:
-        wins = items.where(F.col("size") == SIZE).select("win").distinct().select("win", ladder(F.split("win", " ")).alias("h")).collect()
         df = df.select("*", arrays.hashes(F.col("_w")).alias("_h1"))
         df = df.select("*", arrays.doubled(F.col("_h1"), 1).alias("_h2")).drop("_h1")
         df = df.select("*", arrays.doubled(F.col("_h2"), 2).alias("_h4")).drop("_h2")
         df = df.select("*", arrays.doubled(F.col("_h4"), 4).alias("_h8")).drop("_h4")
-        df = df.select("*", _filter_in("_h8", sorted({r["h"] for r in wins})).alias("_pos")).drop("_h8")
-        known = _strings([r["win"] for r in wins])
-        at = F.transform("_pos", lambda p: F.struct(p.alias("pos"), F.lit(SIZE).alias("size"), F.array_join(F.slice("_w", p + 1, SIZE), " ").alias("win")))
-        found.append(F.filter(at, lambda x: F.array_contains(known, x["win"])))
+        names[SIZE] = "_h8"
     for n in (s for s in sizes if s < SIZE):
-        known = [r["win"] for r in items.where(F.col("size") == n).select("win").distinct().collect()]
-        df = df.withColumn(f"_short{n}", windows_at(F.col("_w"), n))
-        at = F.transform(f"_short{n}", lambda x, i: F.struct(i.alias("pos"), F.lit(n).alias("size"), x.alias("win")))  # noqa: B023
-        found.append(F.filter(at, lambda x: x["win"].isin(known)))  # noqa: B023
-    hits = F.array_sort(F.concat(*found)) if len(found) > 2 else found[-1]
-    return df.select("doc_id", *extra, F.size("_w").cast("long").alias("n_words"), hits.cast(none).alias("hits"))
+        names[n] = f"_short{n}"
+        df = df.withColumn(names[n], F.transform(windows_at(F.col("_w"), n), lambda x: F.xxhash64(F.lit(n), x)))  # noqa: B023
+    return df, names
+
+
+def hash_set(windows: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """One row: `slots`, an array in which the entries of hash h are at h modulo the array's length, null where there are none; and that length."""
+    slots = 1 << max(4, (4 * n - 1).bit_length())
+    entries = windows.select(slot(F.col("h"), slots).alias("slot"), F.struct("h", "win", "items").alias("e"))
+    every = entries.unionByName(windows.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"), F.lit(None).cast(entries.schema["e"].dataType).alias("e")))
+    filled = every.groupBy("slot").agg(F.collect_list("e").alias("all")).select("slot", F.when(F.size("all") > 0, F.col("all")).alias("all"))
+    # one row, of at most SET_WINDOWS entries
+    packed = filled.agg(F.array_sort(F.collect_list(F.struct("slot", "all"))).alias("x")).select(F.transform("x", lambda x: x["all"]).alias("slots"))
+    return common.written(packed, "decontamination-set"), slots
 
 
-def _strings(values: list[str]) -> Column:
-    return F.from_json(F.lit(json.dumps(values, ensure_ascii=False)), "array<string>")
+def slot(h: Column, slots: int) -> Column:
+    return h.bitwiseAND(F.lit(slots - 1).cast("long")).cast("int")
+
+
+def hit_windows(docs: DataFrame, windows: DataFrame, sizes: list[int], n: int, extra: list[str]) -> DataFrame:
+    """docs + n_words, hits: array<struct<pos, size, win, items>> of the verified windows, by position."""
+    df = docs.select("doc_id", *extra, words(F.col("text")).alias("_w"))
+    found = [F.array().cast(HIT)]
+    table, slots = hash_set(windows, n)
+    df, names = window_hashes(df, sizes)
+    for size, h in names.items():
+        # the subquery is used once in each projection, so Catalyst puts it there and it never is a column of rows
+        df = df.withColumn("_set", table.scalar())
+        among = lambda x: F.exists(F.get("_set", slot(x, slots)), lambda e: e["h"] == x)
+        df = df.select(*[c for c in df.columns if c != "_set"], F.filter(F.transform(h, lambda x, i: F.when(among(x), F.struct(i.alias("i"), x.alias("h")))), lambda x: x.isNotNull()).alias("_at")).drop(h)  # noqa: B023
+        at = F.transform("_at", lambda x: F.struct(x["i"].alias("i"), x["h"].alias("h"), F.array_join(F.slice("_w", x["i"] + 1, size), " ").alias("win")))  # noqa: B023
+        df = df.select(*[c for c in df.columns if c != "_at"], F.when(F.size("_at") > 0, at).alias("_met")).withColumn("_set", table.scalar())
+        entry = lambda x: F.get(F.filter(F.get("_set", slot(x["h"], slots)), lambda e: (e["h"] == x["h"]) & (e["win"] == x["win"])), F.lit(0))
+        hit = F.transform("_met", lambda x: F.struct(x["i"].alias("pos"), F.lit(size).alias("size"), x["win"].alias("win"), entry(x)["items"].alias("items")))  # noqa: B023
+        df = df.select(*[c for c in df.columns if c not in ("_set", "_met")], F.coalesce(F.filter(hit, lambda x: x["items"].isNotNull()), F.array().cast(HIT)).alias(f"_hits{size}"))
+        found.append(F.col(f"_hits{size}"))
+    hits = F.array_sort(F.concat(*found)) if len(found) > 2 else found[-1]
+    return df.select("doc_id", *extra, F.size("_w").cast("long").alias("n_words"), hits.cast(HIT).alias("hits"))
 
 
 def covered(hits: Column) -> Column:
@@ -97,45 +121,38 @@ def covered(hits: Column) -> Column:
     return F.aggregate(hits, start, step, lambda acc: acc["n"])
 
 
-def joined_windows(docs: DataFrame, items: DataFrame, extra: list[str]) -> DataFrame:
-    """hit_windows() for a benchmark of any size: windows are exploded and joined on their words by a shuffle."""
-    df = docs.select("doc_id", *extra, words(F.col("text")).alias("_w")).withColumn("_row", F.struct(F.xxhash64("doc_id", "_w"), F.monotonically_increasing_id()))
+def joined_windows(docs: DataFrame, windows: DataFrame, sizes: list[int], extra: list[str]) -> DataFrame:
+    """hit_windows() for a benchmark of any size: hashes are exploded and joined by a shuffle, and the documents with such windows are compared by words."""
+    df = docs.select("doc_id", *extra, words(F.col("text")).alias("_w")).withColumn("_row", F.monotonically_increasing_id())
     df = common.written(df, "decontamination-words")
-    sizes = [r["size"] for r in items.select("size").distinct().collect()]
-    wins = items.select("size", "win").distinct()
-    parts = [df.select("_row", F.posexplode(windows_at(F.col("_w"), n)).alias("pos", "win")).withColumn("size", F.lit(n)) for n in sizes]
     out = df.select("_row", "doc_id", *extra, F.size("_w").cast("long").alias("n_words"))
-    none = F.array().cast("array<struct<pos:int,size:int,win:string>>")
-    if not parts:
-        return out.select("doc_id", *extra, "n_words", none.alias("hits"))
-    seen = parts[0]
-    for p in parts[1:]:
-        seen = seen.unionByName(p)
-    hits = seen.join(wins, ["size", "win"], "left_semi").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "size", "win"))).alias("hits"))
-    return out.join(hits, "_row", "left").select("doc_id", *extra, "n_words", F.coalesce("hits", none).alias("hits"))
+    if not sizes:
+        return out.select("doc_id", *extra, "n_words", F.array().cast(HIT).alias("hits"))
+    windows = common.written(windows, "decontamination-windows")
+    wide, names = window_hashes(df.select("_row", "_w"), sizes)
+    seen = None
+    for n, h in names.items():
+        part = wide.select("_row", F.posexplode(h).alias("pos", "h")).withColumn("size", F.lit(n))
+        seen = part if seen is None else seen.unionByName(part)
+    met = seen.join(windows.select("size", "h").distinct(), ["size", "h"], "left_semi").groupBy("_row").agg(F.collect_list(F.struct("pos", "size")).alias("at"))
+    at = df.select("_row", "_w").join(met, "_row").select("_row", F.transform("at", lambda x: F.struct(x["pos"].alias("pos"), x["size"].alias("size"), F.array_join(F.slice(F.col("_w"), x["pos"] + 1, x["size"]), " ").alias("win"))).alias("at"))
+    at = at.select("_row", F.explode("at").alias("x")).select("_row", "x.*")
+    hits = at.join(windows.select("size", "win", "items"), ["size", "win"]).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "size", "win", "items"))).cast(HIT).alias("hits"))
+    return out.join(hits, "_row", "left").select("doc_id", *extra, "n_words", F.coalesce("hits", F.array().cast(HIT)).alias("hits"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, bound: int = SET_WINDOWS, extra: list[str] | None = None, with_hits: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, `extra`, and, asked for, hits."""
     extra = extra or []
-    items = item_windows(benchmark)
-    small = items.count() <= bound
-    found = hit_windows(docs, items, extra, bound) if small else joined_windows(docs, items, extra)
+    items = common.written(item_windows(benchmark), "decontamination-items")
+    windows = hashed_windows(items)
+    facts = windows.agg(F.count("*").alias("n"), F.sort_array(F.collect_set("size")).alias("sizes")).first()
+    n, sizes = facts["n"], facts["sizes"]
+    found = hit_windows(docs, windows, sizes, n, extra) if n <= bound else joined_windows(docs, windows, sizes, extra)
     found = found.withColumn("n_hit", F.when(F.size("hits") > 0, covered(F.col("hits"))).otherwise(F.lit(0)).cast("long"))
+    met = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"]))))
+    rows = found.withColumn("items", F.when(F.size("hits") > 0, met).otherwise(F.array().cast("array<string>")))
     keep = ["doc_id", *extra, "n_words", "n_hit", *(["hits"] if with_hits else [])]
-    wins = F.array_distinct(F.transform("hits", lambda x: x["win"]))
-    if small:
-        listed = items.groupBy("item_id").agg(F.sort_array(F.collect_set("win")).alias("wins")).select(F.col("item_id").cast("string").alias("item_id"), "wins").collect()
-        known = F.from_json(F.lit(json.dumps([r.asDict() for r in listed], ensure_ascii=False)), "array<struct<item_id:string,wins:array<string>>>")
-        met = F.transform(F.filter(known, lambda i: F.arrays_overlap(i["wins"], F.col("_wins"))), lambda i: i["item_id"])
-        rows = found.select(*keep, wins.alias("_wins")).withColumn("items", F.when(F.size("_wins") > 0, F.array_sort(F.array_distinct(met))).otherwise(F.array().cast("array<string>")))
-    else:
-        # a document without hits is one row, one with hits as many as it has distinct windows hit
-        found = found.select(F.monotonically_increasing_id().alias("_row"), *keep, wins.alias("_wins"))
-        rows = found.select("_row", *keep, F.explode_outer("_wins").alias("win"))
-        first = [F.first(c).alias(c) for c in keep]
-        rows = rows.join(items.select("win", F.col("item_id").cast("string").alias("item_id")), "win", "left")
-        rows = rows.groupBy("_row").agg(*first, F.array_sort(F.collect_set("item_id")).alias("items"))
     return rows.select(
         *keep, F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("items") >= 2).alias("contaminated"), "items",
@@ -182,3 +199,22 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+SQL = r"""
+WITH b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+win AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS win
+  FROM (SELECT item_id, w, least(8, len(w)) AS k, unnest(range(1, len(w) - least(8, len(w)) + 2)) AS p FROM b WHERE len(w) > 0)),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+seen AS (
+  SELECT r, k, p, array_to_string(w[p:p + k - 1], ' ') AS win
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM win))),
+hit AS (SELECT r, p, k, item_id FROM seen JOIN win USING (k, win)),
+word AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS q FROM hit) GROUP BY r),
+item AS (SELECT r, count(DISTINCT item_id) AS n_items, list_aggregate(list_sort(list(DISTINCT item_id::VARCHAR)), 'string_agg', ',') AS ids FROM hit GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN word USING (r) LEFT JOIN item USING (r)
+"""

@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op7_decontamination": decontamination.SQL,
     "op9_url_filters": url_filter.SQL,
 }
