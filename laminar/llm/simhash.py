@@ -80,10 +80,10 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """rows(doc_id, fp, ...) -> the rows with label (of the component) and component_id (its smallest doc_id). Written tables cut the lineage after fingerprints and links."""
     distinct = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    edges = common.written(links(distinct.select("fp"), radius), "simhash-edges")
-    labels = components.components(edges)
+    labels = components.components(links(distinct.select("fp"), radius))
     named = distinct.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    named = common.written(named, "simhash-labels")
+    before, named = distinct, common.written(named, "simhash-labels")
+    common.dropped(before, labels)
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     per_fp = named.join(smallest, "label").select("fp", "label", "component_id")
     return fps.join(per_fp, "fp")
@@ -98,14 +98,16 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = RADIUS) -> Dat
 def keep_one(docs: DataFrame, size: int = 3, radius: int = RADIUS) -> DataFrame:
     """`docs` with one row of each component: the smallest (doc_id, text hash).
 
-    Rows are known by (doc_id, hash of the text) while fingerprints are linked; equal rows count as one.
+    Rows are known by hashes of the text and of (doc_id, length) while fingerprints are linked; of rows that agree in both, the one with the smallest hash of the whole row stays.
     """
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_h"))
-    fps = common.written(fingerprints(keyed, ["doc_id", "_h"], size), "simhash-prints").distinct()
-    best = linked(fps, radius).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_h")).alias("m"))
-    keep = best.select(F.col("m.doc_id").alias("_id"), F.col("m._h").alias("_kh"))
-    kept = keyed.drop("text").join(keep, keyed["doc_id"].eqNullSafe(keep["_id"]) & (keyed["_h"] == keep["_kh"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_h"]).select("_row.*")
+    text = F.col("text")
+    row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.octet_length(text))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.xxhash64(text).alias("_h"), row.alias("_g"))
+    fps = common.written(fingerprints(keyed, ["doc_id", "_h", "_g"], size), "simhash-prints").distinct()
+    best = linked(fps, radius).groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_h", "_g")).alias("m"))
+    kept = keyed.select("_row", "_h", "_g").join(best.select("m._h", "m._g"), ["_h", "_g"], "left_semi")
+    # equal in doc_id and text: dealt like the join before, so nothing moves again
+    return kept.groupBy("_h", "_g").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
