@@ -56,7 +56,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over `documents`."""
     df = common.table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        df = stage(spark, df, sf_dir)
+        before, df = df, stage(spark, df, sf_dir)
         if i < len(STAGES) - 1:
             df = common.written(df, f"pipeline-{i}")
+            common.dropped(before)
     return df
