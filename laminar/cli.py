@@ -12,7 +12,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from laminar.plans import stages  # noqa: F401  registers the backends
-from laminar.plans.pipeline import Cache, Pipeline, PipelineConfig
+from laminar.plans.pipeline import Cache, Pipeline, Settings
 from laminar.sources import io
 
 
@@ -40,13 +40,12 @@ def main(args: list[str] | None = None) -> int:
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("laminar").getOrCreate()
     if a.command == "doctor":
-        PipelineConfig.read(spark, a.config).doctor(spark).show(truncate=False)
+        Settings.read(spark, a.config).doctor(spark).show(truncate=False)
     elif a.command == "inspect":
         for r in io.read_text(spark, a.path).toLocalIterator():
             print(r["value"])
     else:
-        config = PipelineConfig.read(spark, a.config)
-        config.validate()
+        config = Settings.read(spark, a.config).checked()
         pages = io.page_images(spark, a.images, content=True)
         pipeline = Pipeline(config, Cache(spark, a.cache), inputs={k: spark.read.parquet(v) for k, v in (t.split("=", 1) for t in a.table)})
         first, last = (a.stage, a.stage) if a.command == "run-stage" else (a.first, a.last)

@@ -311,20 +311,21 @@ def gutter_segments(spark, sf_dir):
     return raster.segments(p, ["k"], ends, 0.25, 2)
 
 
-def pixels(spark, sf_dir) -> DataFrame:
-    """Pages of 60 x 60 pixels from `part`: white with gray blocks whose gutters depend on the key."""
-    keys = read(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("page_id"))
-    rows = keys.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("y")).select("page_id", "y", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("x"))
-    cut_y, cut_x = 18 + F.col("page_id") % 17, 15 + F.col("page_id") % 23
-    white = F.abs(F.col("y") - cut_y) <= 4
-    side = (F.col("y") < cut_y) & (F.abs(F.col("x") - cut_x) <= 3)
-    return rows.select("page_id", "y", "x", F.when(white | side, 255).otherwise(120).alias("v"))
+def rasters(spark, sf_dir) -> DataFrame:
+    """A page of 60 x 60 pixels for each row of `part`: gray blocks with white gutters that depend on the key."""
+    keys = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), (18 + F.col("p_partkey") % 17).alias("cy"), (15 + F.col("p_partkey") % 23).alias("cx"))
+    line = F.sequence(F.lit(0), F.lit(59))
+    upper = F.array_join(F.transform(line, lambda x: F.when(F.abs(x - F.col("cx")) <= 3, "FF").otherwise("78")), "")
+    rows = F.transform(line, lambda y: F.when(F.abs(y - F.col("cy")) <= 4, "FF" * 60).when(y < F.col("cy"), F.col("upper")).otherwise("78" * 60))
+    return keys.withColumn("upper", upper).select("page_id", "cy", "cx", F.lit(60).alias("height"), F.lit(60).alias("width"), F.unhex(F.array_join(rows, "")).alias("gray"))
 
 
 PIXELS = """
-WITH k AS (SELECT p_partkey AS page_id FROM part WHERE p_partkey % 20 = 0),
+WITH k AS (SELECT p_partkey AS page_id FROM part),
 px AS (SELECT page_id, yy.y, xx.x, CASE WHEN abs(yy.y - (18 + page_id % 17)) <= 4 OR (yy.y < 18 + page_id % 17 AND abs(xx.x - (15 + page_id % 23)) <= 3) THEN 1 ELSE 0 END AS bg
-  FROM k, (SELECT unnest(range(60)) AS y) yy, (SELECT unnest(range(60)) AS x) xx),
+  FROM k, (SELECT unnest(range(60)) AS y) yy, (SELECT unnest(range(60)) AS x) xx)"""
+
+XY_CUT = PIXELS + """,
 rf AS (SELECT page_id, y AS i, avg(bg) AS frac FROM px GROUP BY ALL),
 ri AS (SELECT page_id, i, i - row_number() OVER (PARTITION BY page_id ORDER BY i) AS g FROM rf WHERE frac > 0.9::DOUBLE),
 rb AS (SELECT page_id, (min(i) + max(i)) // 2 AS s FROM ri GROUP BY page_id, g HAVING max(i) - min(i) + 1 >= 5),
@@ -339,19 +340,31 @@ cell AS (SELECT page_id, y0, y1, x0, x1, sum(blank) / sum(n) AS share FROM cf JO
 SELECT page_id, CAST(x0 AS DOUBLE) AS x, CAST(y0 AS DOUBLE) AS y, CAST(x1 - x0 AS DOUBLE) AS w, CAST(y1 - y0 AS DOUBLE) AS h FROM cell WHERE share <= 0.85::DOUBLE"""
 
 
-@query("xy_cut", PIXELS)
+@query("xy_cut", XY_CUT)
 def xy_cut(spark, sf_dir):
-    return raster.xy_cut(pixels(spark, sf_dir))
-
-
-@query("snap_boxes")
+    return raster.xy_cut(rasters(spark, sf_dir))
+
+
+@query("snap_boxes", PIXELS + """,
+box AS (
+  SELECT page_id, 0 AS idx, 5 AS l, 45 AS r, 26 + page_id % 17 AS t, 41 + page_id % 17 AS b FROM k
+  UNION ALL SELECT page_id, 1, 2, 7 + page_id % 23, 2, 8 + page_id % 17 FROM k),
+rp AS (SELECT page_id, idx, y >= b AS ahead, y AS i FROM px JOIN box USING (page_id) WHERE x >= l AND x < r AND ((y >= t - 12 AND y < t) OR (y >= b AND y < b + 12)) GROUP BY ALL HAVING avg(bg) > 0.9::DOUBLE),
+ri AS (SELECT *, i - row_number() OVER (PARTITION BY page_id, idx, ahead ORDER BY i) AS g FROM rp),
+rb AS (SELECT page_id, idx, ahead, min(i) AS lo, max(i) AS hi FROM ri GROUP BY page_id, idx, ahead, g HAVING count(*) >= 5),
+ry AS (SELECT page_id, idx, l, r, coalesce(max(CASE WHEN NOT ahead THEN hi + 1 END), t) AS t2, coalesce(min(CASE WHEN ahead THEN lo END), b) AS b2 FROM box LEFT JOIN rb USING (page_id, idx) GROUP BY page_id, idx, l, r, t, b),
+cp AS (SELECT page_id, idx, x >= r AS ahead, x AS i FROM px JOIN ry USING (page_id) WHERE y >= t2 AND y < b2 AND ((x >= l - 12 AND x < l) OR (x >= r AND x < r + 12)) GROUP BY ALL HAVING avg(bg) > 0.9::DOUBLE),
+ci AS (SELECT *, i - row_number() OVER (PARTITION BY page_id, idx, ahead ORDER BY i) AS g FROM cp),
+cb AS (SELECT page_id, idx, ahead, min(i) AS lo, max(i) AS hi FROM ci GROUP BY page_id, idx, ahead, g HAVING count(*) >= 5),
+cx AS (SELECT page_id, idx, t2, b2, coalesce(max(CASE WHEN NOT ahead THEN hi + 1 END), l) AS l2, coalesce(min(CASE WHEN ahead THEN lo END), r) AS r2 FROM ry LEFT JOIN cb USING (page_id, idx) GROUP BY page_id, idx, l, r, t2, b2)
+SELECT page_id, CAST(idx AS BIGINT) AS idx, CAST(l2 AS DOUBLE) AS x, CAST(t2 AS DOUBLE) AS y, CAST(r2 - l2 AS DOUBLE) AS w, CAST(b2 - t2 AS DOUBLE) AS h FROM cx""")
 def snap_boxes(spark, sf_dir):
-    px = pixels(spark, sf_dir)
-    gray = px.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "v"))).alias("p"))
-    images = gray.select("page_id", F.lit(60).alias("height"), F.lit(60).alias("width"), F.unhex(F.array_join(F.transform("p", lambda s: F.lpad(F.hex(s["v"]), 2, "0")), "")).alias("gray"))
-    cut = F.col("page_id") % 17 + 18
-    boxes_ = images.select("page_id", F.lit(0).cast("bigint").alias("idx"), F.lit(5.0).alias("x"), (cut + 8).cast("double").alias("y"), F.lit(40.0).alias("w"), F.lit(15.0).alias("h"))
-    return raster.snap_boxes(images, boxes_, min_gap=5, reach=0.2)
+    images = rasters(spark, sf_dir)
+    lower = F.struct(F.lit(5).alias("l"), F.lit(45).alias("r"), (F.col("cy") + 8).alias("t"), (F.col("cy") + 23).alias("b"))
+    upper = F.struct(F.lit(2).alias("l"), (F.col("cx") - 8).alias("r"), F.lit(2).alias("t"), (F.col("cy") - 10).alias("b"))
+    two = images.select("page_id", F.posexplode(F.array(lower.cast("struct<l:int,r:int,t:int,b:int>"), upper.cast("struct<l:int,r:int,t:int,b:int>"))).alias("idx", "e"))
+    sides = {"x": F.col("e.l"), "y": F.col("e.t"), "w": F.col("e.r") - F.col("e.l"), "h": F.col("e.b") - F.col("e.t")}
+    return raster.snap_boxes(images, two.select("page_id", F.col("idx").cast("bigint").alias("idx"), *[c.cast("double").alias(n) for n, c in sides.items()]), min_gap=5, reach=0.2)
 
 
 # ---- text
@@ -455,13 +468,18 @@ def best_match(spark, sf_dir):
     return identity.best_match(e.withColumnRenamed("vec_id", "id"), c, ["g"], "label").select(F.col("id").alias("vec_id"), "best", r6(F.col("similarity")).alias("similarity"))
 
 
-@query("running_mean", PAIRED + """
-, a AS (SELECT label, v AS a FROM e WHERE rn = 1), b AS (SELECT label, v AS b FROM e WHERE rn = 2)
-SELECT label, CAST(i AS INT) AS pos, round((a[i + 1] * 3 + b[i + 1]) / 4, 6) AS x FROM (SELECT label, a, b, unnest(range(len(a))) AS i FROM a JOIN b USING (label))""")
+@query("running_mean", """
+WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label HAVING count(*) > 1),
+u AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings JOIN n USING (label))
+SELECT label, CAST(pos AS INT) AS pos, round(avg(x), 6) AS x FROM u GROUP BY label, pos""")
 def running_mean(spark, sf_dir):
-    e = vectors(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
-    ab = e.where("rn <= 2").groupBy("label").agg(F.min_by("v", "rn").alias("a"), F.max_by("v", "rn").alias("b"), F.count("*").alias("n")).where("n = 2")
-    return ab.select("label", F.posexplode(V.running_mean(F.col("a"), F.lit(3), F.col("b"))).alias("pos", "x")).withColumn("x", r6(F.col("x")))
+    """The last vector of a label folded into the mean of all before it."""
+    e = vectors(spark, sf_dir)
+    last = e.groupBy("label").agg(F.max("vec_id").alias("vec_id"), F.count("*").alias("n")).where("n > 1")
+    marked = e.join(last.select("label", F.col("vec_id").alias("last_id"), "n"), "label")
+    before = identity.centroids(marked.where("vec_id <> last_id"), ["label"])
+    ab = marked.where("vec_id = last_id").join(before, "label")
+    return ab.select("label", F.posexplode(V.running_mean(F.col("centroid"), F.col("n") - 1, F.col("v"))).alias("pos", "x")).withColumn("x", r6(F.col("x")))
 
 
 COLOUR = """

@@ -9,8 +9,7 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable
-from dataclasses import dataclass, field
-from typing import Any
+from typing import Any, ClassVar, NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,14 +18,22 @@ from laminar.functions import text as X
 from laminar.schemas import STAGES
 from laminar.sources import io
 
+#: What `device` may be (fixed values).
 DEVICES = ("auto", "cpu", "cuda", "mps")
-_BACKENDS: dict[str, dict[str, type]] = {}
 
 
 class Stage:
-    """A backend of a stage: inputs by stage name ("_input": comic_id, page_id, path, content) -> comic_id, page_id, artifact columns."""
+    """A backend of a stage: inputs by stage name ("_input": comic_id, page_id, path, content) -> comic_id, page_id, artifact columns.
 
-    name = ""
+    A subclass names what it is in its header, `class X(Stage, of="tts", backend="espeak")` (several names as a tuple), and is found by that from then on.
+    """
+
+    known: ClassVar[dict[tuple[str, str], type[Stage]]] = {}
+
+    def __init_subclass__(cls, of: str | None = None, backend: str | tuple[str, ...] = (), **rest: Any) -> None:
+        super().__init_subclass__(**rest)
+        names = (backend,) if isinstance(backend, str) else backend
+        Stage.known.update({(of, n): cls for n in names if of})
 
     def __init__(self, options: dict[str, Any] | None = None) -> None:
         self.options = options or {}
@@ -35,66 +42,68 @@ class Stage:
         raise NotImplementedError
 
 
-def backend(stage: str, name: str) -> Callable[[type], type]:
-    """Registers a class; the last one of a name counts."""
-
-    def register(cls: type) -> type:
-        _BACKENDS.setdefault(stage, {})[name] = cls
-        return cls
-
-    return register
-
+def known_for(stage: str) -> list[str]:
+    """Names of the backends that a stage has, sorted."""
+    return sorted(n for s, n in Stage.known if s == stage)
 
-def backends(stage: str) -> list[str]:
-    return sorted(_BACKENDS.get(stage, {}))
 
+class Choice(NamedTuple):
+    """What a configuration says of one stage."""
 
-def backend_class(stage: str, name: str) -> type:
-    found = _BACKENDS.get(stage, {}).get(name)
-    if found is None:
-        raise ValueError(f"no backend {name!r} for stage {stage!r}; there are {backends(stage)}")
-    return found
-
-
-@dataclass
-class StageConfig:
-    backend: str
+    backend: str = ""
     device: str = "auto"
-    options: dict[str, Any] = field(default_factory=dict)
+    options: dict[str, Any] = {}  # noqa: RUF012  never written
 
-    def __post_init__(self) -> None:
-        if self.device not in DEVICES:
-            raise ValueError(f"device {self.device!r} is none of {DEVICES}")
 
-    def canonical(self) -> dict[str, Any]:
-        return {"backend": self.backend, "device": self.device, "options": self.options}
+class Settings:
+    """A configuration: the choices by stage, and everything that is wrong with it, found in one go when it is made."""
 
+    def __init__(self, choices: dict[str, Choice] | None = None) -> None:
+        self.choices = choices or {}
+        self.problems = [p for stage, c in self.choices.items() for p in self._wrong(stage, c)]
 
-@dataclass
-class PipelineConfig:
-    stages: dict[str, StageConfig]
+    @staticmethod
+    def _wrong(stage: str, c: Choice) -> list[str]:
+        there = known_for(stage)
+        tests = {
+            f"{stage}: device {c.device!r} is none of {', '.join(DEVICES)}": c.device not in DEVICES,
+            f"{stage}: no backend {c.backend!r}, only {', '.join(there)}": bool(there) and c.backend not in there,  # a stage that nobody has implemented may say anything
+            f"{stage}: options are no mapping": not isinstance(c.options, dict),
+        }
+        return [text for text, wrong in tests.items() if wrong]
 
     @classmethod
-    def from_yaml(cls, text: str) -> PipelineConfig:
-        """From YAML text; without `stages`, no stages."""
+    def parsed(cls, text: str) -> Settings:
+        """From YAML; a text without `stages` has no choices. A key that no choice has is an error at once."""
         import yaml
 
-        raw = (yaml.safe_load(text) or {}).get("stages") or {}
-        return cls({k: StageConfig(**v) for k, v in raw.items()})
+        tree = yaml.safe_load(text) or {}
+        return cls({stage: Choice(**entry) for stage, entry in (tree.get("stages") or {}).items()})
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str) -> PipelineConfig:
-        return cls.from_yaml("\n".join(r["value"] for r in io.read_text(spark, path).collect()))
-
-    def validate(self) -> None:
-        """Fails on a backend that isn't registered; stages nobody has implemented are passed over."""
-        for stage, c in self.stages.items():
-            if backends(stage) and c.backend not in backends(stage):
-                raise ValueError(f"no backend {c.backend!r} for stage {stage!r}; there are {backends(stage)}")
+    def read(cls, spark: SparkSession, path: str) -> Settings:
+        return cls.parsed("\n".join(r["value"] for r in io.read_text(spark, path).collect()))
+
+    def checked(self) -> Settings:
+        if self.problems:
+            raise ValueError("; ".join(self.problems))
+        return self
+
+    def of(self, stage: str) -> Choice:
+        return self.choices.get(stage, Choice())
+
+    def make(self, stage: str) -> Stage:
+        """The stage's backend, with its options and, where its constructor asks for one, the device."""
+        c = self.of(stage)
+        cls = Stage.known.get((stage, c.backend))
+        if cls is None:
+            raise ValueError(f"{stage}: no backend {c.backend!r}, only {', '.join(known_for(stage))}")
+        wants = inspect.signature(cls.__init__).parameters
+        return cls(options=c.options, **({"device": resolved_device(c.device)} if "device" in wants else {}))
 
     def doctor(self, spark: SparkSession) -> DataFrame:
         """stage, backend, device, available."""
-        rows = [(s, c.backend, resolved_device(c.device), c.backend in backends(s)) for s, c in self.stages.items()]
+        rows = [(s, c.backend, resolved_device(c.device), (s, c.backend) in Stage.known) for s, c in self.choices.items()]
         return spark.createDataFrame(rows, "stage string, backend string, device string, available boolean")
 
 
@@ -105,13 +114,6 @@ def resolved_device(device: str, has: Callable[[str], bool] | None = None) -> st
     return next((d for d in ("cuda", "mps") if has and has(d)), "cpu")
 
 
-def built(stage: str, config: PipelineConfig) -> Stage:
-    c = config.stages[stage]
-    cls = backend_class(stage, c.backend)
-    more = {"device": resolved_device(c.device)} if "device" in inspect.signature(cls.__init__).parameters else {}
-    return cls(options=c.options, **more)
-
-
 def chosen_range(first: str | None, last: str | None) -> list[str]:
     """Stage names from first to last, both included."""
     for s in (first, last):
@@ -149,15 +151,13 @@ def stale(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 class Pipeline:
-    def __init__(self, config: PipelineConfig, cache: Cache | None = None, stages: dict[str, Stage] | None = None, inputs: dict[str, DataFrame] | None = None) -> None:
+    def __init__(self, config: Settings, cache: Cache | None = None, stages: dict[str, Stage] | None = None, inputs: dict[str, DataFrame] | None = None) -> None:
         """inputs: tables of model outputs by name, as the stages read them."""
         self.config, self.cache, self.stages, self.inputs = config, cache, stages or {}, inputs or {}
 
     def stage(self, name: str) -> Stage:
         if name not in self.stages:
-            if name not in self.config.stages or not backends(name):
-                raise ValueError(f"no implementation of stage {name!r}")
-            self.stages[name] = built(name, self.config)
+            self.stages[name] = self.config.make(name)
         return self.stages[name]
 
     def run(self, pages: DataFrame, first: str | None = None, last: str | None = None, force: bool = False) -> dict[str, DataFrame]:
@@ -165,7 +165,7 @@ class Pipeline:
         out = {"_input": pages, **self.inputs}
         before: DataFrame | None = None
         for name in chosen_range(first, last):
-            stage, settings = self.stage(name), self.config.stages.get(name, StageConfig("")).canonical()
+            stage, settings = self.stage(name), self.config.of(name)._asdict()
             keys = hashes(pages, settings, before)
             if self.cache is None:
                 out[name] = stage.transform(out).join(keys, ["comic_id", "page_id"])

@@ -16,7 +16,7 @@ from laminar.functions import text as X
 from laminar.functions import vectors as V
 from laminar.operators import attribution, identity, layout, raster
 
-from .pipeline import Stage, backend
+from .pipeline import Stage
 
 #: Least scores by kind (fixed values).
 SCORES = {"panel": 0.2, "character": 0.3, "text": 0.3, "tail": 0.34}
@@ -50,8 +50,7 @@ def _panels_artifact(panels: DataFrame, paths: DataFrame, direction: str) -> Dat
     return paths.join(out, ["comic_id", "page_id"], "left").select("comic_id", "page_id", F.col("path").alias("image_path"), F.coalesce("panels", none).alias("panels"))
 
 
-@backend("panel_detection", "magi")
-class DetectedPanels(Stage):
+class DetectedPanels(Stage, of="panel_detection", backend="magi"):
     """Panels as detected, snapped to gutters where a raster (inputs["rasters"]) is there."""
 
     def transform(self, inputs: dict[str, DataFrame]) -> DataFrame:
@@ -63,21 +62,19 @@ class DetectedPanels(Stage):
         return _panels_artifact(panels, inputs["_input"], self.options.get("reading_direction", "auto"))
 
 
-@backend("panel_detection", "cv_heuristic")
-class CutPanels(Stage):
-    """Panels from gutters alone; inputs["pixels"]: comic_id, page_id, y, x, v."""
+class CutPanels(Stage, of="panel_detection", backend="cv_heuristic"):
+    """Panels from gutters alone; inputs["rasters"]: comic_id, page_id, height, width, gray."""
 
     def transform(self, inputs: dict[str, DataFrame]) -> DataFrame:
         o = self.options
-        px = inputs["pixels"].select(F.struct("comic_id", "page_id").alias("page_id"), "y", "x", "v")
-        boxes = raster.xy_cut(px, o.get("bg_brightness", 200), o.get("gutter_frac_threshold", 0.9), o.get("min_gutter_px", 5), o.get("min_panel_fraction", 0.06), o.get("max_bg_fraction_in_panel", 0.85))
+        images = inputs["rasters"].select(F.struct("comic_id", "page_id").alias("page_id"), "height", "width", "gray")
+        boxes = raster.xy_cut(images, o.get("bg_brightness", 200), o.get("gutter_frac_threshold", 0.9), o.get("min_gutter_px", 5), o.get("min_panel_fraction", 0.06), o.get("max_bg_fraction_in_panel", 0.85))
         by_page = boxes.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "w", "h"))).alias("b"))
         numbered = by_page.select("page_id", F.posexplode("b").alias("idx", "b")).select("page_id", F.col("idx").cast("bigint").alias("idx"), "b.x", "b.y", "b.w", "b.h")
         return _panels_artifact(numbered, inputs["_input"], o.get("reading_direction", "auto"))
 
 
-@backend("bubble_detection", "magi")
-class DetectedBubbles(Stage):
+class DetectedBubbles(Stage, of="bubble_detection", backend="magi"):
     def transform(self, inputs: dict[str, DataFrame]) -> DataFrame:
         boxes = detected(inputs["detections"], self.options)
         pairs = inputs["tail_pairs"].select(F.struct("comic_id", "page_id").alias("page_id"), "ord", F.col("text_idx").cast("bigint").alias("text_idx"), F.col("tail_idx").cast("bigint").alias("tail_idx"))
@@ -107,8 +104,7 @@ def nested_by_panel(panels: DataFrame, rows: DataFrame, fields: list[str], name:
     return pages.select("comic_id", "page_id").join(out, ["comic_id", "page_id"], "left").select("comic_id", "page_id", F.coalesce("panels", none).alias("panels"))
 
 
-@backend("vlm_extraction", "qwen_vl_ollama")
-class ReadPanels(Stage):
+class ReadPanels(Stage, of="vlm_extraction", backend="qwen_vl_ollama"):
     """Readings chosen by letters, descriptions parsed from answers; answers that can't be used leave empty descriptions."""
 
     def transform(self, inputs: dict[str, DataFrame]) -> DataFrame:
@@ -124,7 +120,7 @@ class ReadPanels(Stage):
         return nested_by_panel(boxes.where("kind = 'panel'"), rows, ["bubble_id", "dialogue_text", "ocr_confidence"], "bubbles", inputs["_input"], described, [*X.REQUIRED, "onomatopoeia"])
 
 
-class Identities(Stage):
+class Identities(Stage, of="character_embedding", backend=("clip", "dinov2")):
     """Figures' vectors, fused with colour, folded to identities page by page; every page lists the characters known so far."""
 
     whole_comics = True
@@ -149,6 +145,3 @@ class Identities(Stage):
             F.transform("a", lambda r: F.struct(r["panel_id"], r["bubble_id"], r["character_id"], r["similarity"])).alias("panel_assignments"),
         )
 
-
-for _name in ("clip", "dinov2"):
-    backend("character_embedding", _name)(type(f"Identities_{_name}", (Identities,), {"name": _name}))

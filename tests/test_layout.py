@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,14 +32,22 @@ def test_geometry_scalars(spark):
     assert one(spark, G.decay(F.lit(15.0), F.lit(60.0))) == 0.75 and one(spark, G.decay(F.lit(90.0), F.lit(60.0))) == 0
 
 
-GRID = [(0, 0, 0, 100, 100), (1, 100, 0, 100, 100), (2, 0, 100, 200, 50), (3, 0, 150, 100, 100), (4, 100, 150, 100, 100), (5, 0, 250, 100, 100), (6, 100, 250, 100, 100)]
-
-
-@pytest.mark.parametrize(("way", "want"), [("ltr", [0, 1, 2, 3, 4, 5, 6]), ("auto", [0, 1, 2, 3, 4, 5, 6]), ("rtl", [1, 0, 2, 4, 3, 6, 5])])
-def test_reading_order(spark, way, want):
-    df = spark.createDataFrame([(1, "panel", i, float(x), float(y), float(w), float(h)) for i, x, y, w, h in GRID], BOX)
-    rows = layout.reading_order(df, way).orderBy("reading_order_index").collect()
-    assert [r["idx"] for r in rows] == want and [r["reading_order_index"] for r in rows] == list(range(7))
+def test_reading_order_of_rows_of_any_width(spark):
+    r = random.Random(4)
+    scene, ltr, rtl, top = [], [], [], 0.0
+    for _ in range(9):  # rows from the top; a row's panels share its height and differ in width, so the order follows from how they are made
+        height, left, row = r.choice([40.0, 90.0, 130.0]), 0.0, []
+        for _ in range(r.randrange(1, 5)):
+            width = r.choice([25.0, 60.0, 110.0])
+            row.append(len(scene))
+            scene.append((1, "panel", len(scene), left, top, width, height))
+            left += width + 6
+        ltr, rtl, top = ltr + row, rtl + row[::-1], top + height + 6
+    scene = [(*s[:2], i, *s[3:]) for i, s in enumerate(scene)]
+    df = spark.createDataFrame(r.sample(scene, len(scene)), BOX)
+    for way, want in (("ltr", ltr), ("auto", ltr), ("rtl", rtl)):
+        rows = layout.reading_order(df, way).orderBy("reading_order_index").collect()
+        assert [x["idx"] for x in rows] == want and [x["reading_order_index"] for x in rows] == list(range(len(scene)))
 
 
 def test_rows_tolerate_a_shifted_panel(spark):
@@ -106,9 +115,8 @@ def page(blocks, size):
     return a
 
 
-def pixel_rows(spark, a):
-    rows = [(1, y, [int(v) for v in a[y]]) for y in range(a.shape[0])]
-    return spark.createDataFrame(rows, "page_id int, y int, vs array<int>").select("page_id", "y", F.posexplode("vs").alias("x", "v"))
+def one_raster(spark, a):
+    return spark.createDataFrame([(1, *a.shape, a.tobytes())], "page_id int, height int, width int, gray binary")
 
 
 @pytest.mark.parametrize(
@@ -116,7 +124,7 @@ def pixel_rows(spark, a):
     [([(20, 20, 160, 160), (220, 20, 160, 160), (20, 220, 160, 160), (220, 220, 160, 160)], 4), ([(20, 20, 360, 160), (20, 220, 160, 160), (220, 220, 160, 160)], 3), ([(20, 20, 179, 360), (201, 20, 179, 360)], 1), ([], 0)],
 )
 def test_xy_cut(spark, blocks, n):
-    assert raster.xy_cut(pixel_rows(spark, page(blocks, 400))).count() == n
+    assert raster.xy_cut(one_raster(spark, page(blocks, 400))).count() == n
 
 
 def test_snapping():
@@ -130,6 +138,14 @@ def test_snapping():
     assert raster.snapped(a > 200, (50.0, 50.0, 100.0, 100.0)) == (50, 50, 100, 100)
 
 
+def test_an_empty_box_and_a_page_without_pixels(spark):
+    import numpy as np
+
+    blank = page([(0, 0, 60, 60)], 60) > 200
+    assert raster.snapped(blank, (10.0, 10.0, 0.0, 0.0)) == (10, 10, 0, 0) and raster.snapped(blank, (70.0, 70.0, 5.0, 5.0)) == (70, 70, 5, 5)
+    assert raster.xy_cut(one_raster(spark, np.zeros((0, 0), np.uint8))).count() == 0
+
+
 def test_bands_and_segments(spark):
     p = spark.createDataFrame([("a", i, f) for i, f in enumerate([0.0, 0.0, 1.0, 1.0, 1.0, 0.0, 1.0, 0.0, 0.0, 1.0, 1.0])], "k string, i int, frac double")
     assert sorted((r["a"], r["b"]) for r in raster.bands(p, ["k"], 0.9, 2).collect()) == [(2, 4), (9, 10)]

@@ -41,7 +41,7 @@ def pages(spark, second=b"two"):
 
 
 def test_four_stages(spark):
-    out = P.Pipeline(P.PipelineConfig.from_yaml(CONFIG), inputs=inputs(spark)).run(pages(spark), last="character_embedding")
+    out = P.Pipeline(P.Settings.parsed(CONFIG), inputs=inputs(spark)).run(pages(spark), last="character_embedding")
     first = {r["page_id"]: r for r in out["panel_detection"].collect()}
     assert [(p["panel_id"], p["reading_order_index"]) for p in first["p1"]["panels"]] == [("p1_p000", 0), ("p1_p001", 1)] and first["p1"]["image_path"] == "/p1.jpg"
     bubbles = {r["page_id"]: r for r in out["bubble_detection"].collect()}["p1"]["panels"]
@@ -66,7 +66,7 @@ def test_cache_serves_unchanged_pages_only(spark, tmp_path):
             runs.append(sorted(r["page_id"] for r in i["_input"].collect()))
             return i["_input"].select("comic_id", "page_id", F.length("content").alias("n"))
 
-    config = P.PipelineConfig({"tts": P.StageConfig("x")})
+    config = P.Settings({"tts": P.Choice("x")})
     cache = P.Cache(spark, str(tmp_path))
     run = lambda content, force=False: sorted((r["page_id"], r["n"]) for r in P.Pipeline(config, cache, {"tts": Counting()}).run(pages(spark, content), "tts", "tts", force)["tts"].collect())
     assert run(b"two") == [("p1", 3), ("p2", 3)]
@@ -81,29 +81,25 @@ def test_ranges_and_registry(spark):
     assert P.chosen_range(None, None) == schemas.STAGES
     with pytest.raises(ValueError, match="unknown stage"):
         P.chosen_range("x", None)
-    with pytest.raises(ValueError, match="there are"):
-        P.backend_class("panel_detection", "x")
-    config = P.PipelineConfig.from_yaml(CONFIG)
-    config.validate()
-    assert config.stages["panel_detection"].options == {"reading_direction": "ltr"} and config.stages["tts"].device == "auto"
+    config = P.Settings.parsed(CONFIG)
+    assert config.checked() is config and config.problems == []
+    assert config.of("panel_detection").options == {"reading_direction": "ltr"} and config.of("tts").device == "auto"
     assert {r["stage"]: (r["device"], r["available"]) for r in config.doctor(spark).collect()}["tts"] == ("cpu", False)
-    with pytest.raises(ValueError, match="no implementation"):
+    with pytest.raises(ValueError, match="no backend 'none_yet'"):
         P.Pipeline(config).stage("tts")
-    config.stages["bubble_detection"] = P.StageConfig("unheard")
-    with pytest.raises(ValueError, match="unheard"):
-        config.validate()
-    with pytest.raises(ValueError, match="device"):
-        P.StageConfig("x", "tpu")
-    assert P.PipelineConfig.from_yaml("").stages == {}
+    wrong = P.Settings({"bubble_detection": P.Choice("unheard", "tpu"), "panel_detection": P.Choice("magi", options=[1])})
+    assert len(wrong.problems) == 3
+    with pytest.raises(ValueError, match="tpu.*unheard.*no mapping"):
+        wrong.checked()
+    assert P.Settings.parsed("").choices == {} and P.known_for("character_embedding") == ["clip", "dinov2"]
     assert P.resolved_device("auto", lambda d: d == "mps") == "mps" and P.resolved_device("cuda") == "cuda"
 
-    @P.backend("animation", "later")
-    class Later(P.Stage):
+    class Later(P.Stage, of="animation", backend="later"):
         def __init__(self, options=None, device="cpu"):
             super().__init__(options)
             self.device = device
 
-    assert P.built("animation", P.PipelineConfig({"animation": P.StageConfig("later", "mps", {"a": 1})})).device == "mps"
+    assert P.Settings({"animation": P.Choice("later", "mps", {"a": 1})}).make("animation").device == "mps"
 
 
 def test_violations(spark):
