@@ -2,17 +2,19 @@
 
 A tolerant one-pass parser makes a tree of elements and, in page order, the text blocks between block-level tags. Paragraphs give points for
 length and commas to their ancestors (all to the parent, half to the grandparent, less above), which are discounted by link density. The best container
-wins; of its siblings those are kept that score near it or are prose, and headings before it. If an article or main element holds the best container, that element is
-taken whole. What is no content (menus, forms, adverts, comments of readers ...) is left out by tag, role or the words of class and id.
+wins, or the article or main element round it; of its siblings those are kept that score near it or are prose, and headings before it. Inside what is kept, scores decide again: containers that are mostly links go, and so do
+elements whose tag, role or name says that they are something else (menus, forms, adverts, comments of readers ...), unless next to nothing would be left without them. A name says so only if
+all of its words do: `ad-slot` is an advert, `legal-analysis`, `has-sidebar` and `overflow-hidden` are not.
 
 Defined results: null or empty html gives the empty text; html without tags is one block; unclosed, crossed or unknown tags are repaired, never an
-error; a page without any scored container gives all of its blocks that are content; repeated rows are extracted each; an empty table gives no rows.
-The time is linear in the html, whatever its nesting (at most DEPTH open elements count).
+error; a page without any scored container gives all of its blocks that are content; repeated rows are extracted each; an empty table gives no rows; columns other than page_id, url and html are ignored.
+The time is linear in the html, however long and however nested.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -21,13 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import common
 
-DEPTH = 400
-OPENING = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:_-]*)|(!--)|[!?/])")
-ATTRIBUTE = re.compile(r"""([a-zA-Z:_-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
+OPENING = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|[!?/])")
+GAP, NAME, EQUALS, BARE = re.compile(r"[\s/]*"), re.compile(r"=?[^\s/>=]*"), re.compile(r"\s*=\s*"), re.compile(r"[^\s>]*")
 # HTML's element names by their role here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe noembed noframes xmp".split())
-DROP = set("head nav footer aside form button select option optgroup fieldset datalist dialog menu menuitem svg math canvas audio video object applet map".split())
+RAW = {n: re.compile(f"</{n}(?=[\\s/>])", re.I | re.A) for n in "script style noscript template textarea title iframe noembed noframes xmp".split()}
+DROP = set("head button select option optgroup datalist svg math canvas audio video object applet map".split())
+ASIDE = set("nav footer aside form fieldset dialog menu menuitem".split())
 BLOCK = set(
     "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html"
     " legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -39,63 +41,97 @@ IMPLIED = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"thead"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"}),
 }
+#: Words of names of what is no content, and words that may stand beside them without making it content.
 NOT_CONTENT = set(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars side aside menu menus nav navbar navigation topnav subnav breadcrumb"
     " breadcrumbs pagination pager comment comments commentlist disqus reply replies respond footer foot colophon masthead cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe"
     " subscription signup login share sharing social related recommended recommendations recirc widget widgets toolbar skip form search hidden legal disclaimer copyright tags taboola outbrain".split()
 )
-#: These words exclude only as the whole name or at its start or end next to another of NOT_CONTENT.
-ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form toolbar tablist status log".split())
+BESIDE = set("area bar block bottom box button buttons container global group holder inner item items left link links list outer page panel post posts primary region right secondary section site slot stories thread top unit user wrap wrapper".split())
 HEADER_WORDS = {"header", "topbar"}
-NEVER_DROPPED = {"html", "body", "article", "main"}
+ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form toolbar tablist status log".split())
 PROSE = {"p", "pre", "td", "blockquote", "div", "section", "article", "main", "dd", "li", "body"}
-NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+OWN = {"div", "section", "article", "main", "body", "td"}
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "details", "figure", "center"}
+BONUS = {"article": 25.0, "main": 20.0}
+SHARES = (1.0, 0.5, 0.25, 0.125)
+NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Shortest paragraph that gives points; least share of an unlikely element's points that must be left without it.
+PARAGRAPH, REST = 25, 0.05
+
+
+def says_no(names: str, within: bool) -> bool:
+    """Whether one of the names of a class or id attribute says that the element is no content."""
+    for name in names.split():
+        words = {w.lower() for w in NAME_WORDS.findall(name)}
+        if (words & NOT_CONTENT or (not within and words & HEADER_WORDS)) and words <= NOT_CONTENT | BESIDE | HEADER_WORDS:
+            return True
+    return False
 
 
 class Page:
-    """Elements as parallel lists (parent, tag, dropped or not) and blocks (element, text, characters in links)."""
+    """Elements as parallel lists (parent, tag, hidden, unlikely) and blocks (element, text, characters in links, links)."""
 
     def __init__(self, html: str) -> None:
-        self.parent, self.tag, self.dropped = [-1], ["#root"], [False]
-        self.blocks: list[tuple[int, str, int]] = []
+        self.parent, self.tag, self.hidden, self.unlikely, self.block_at = [-1], ["#root"], [False], [False], [0]
+        self.blocks: list[tuple[int, str, int, int]] = []
         self.text: list[str] = []
-        self.links = 0
+        self.linked = self.links = 0
         self._parse(html)
 
     def _flush(self, at: int) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.blocks.append((at, text, min(self.links, len(text))))
-            self.text, self.links = [], 0
+                self.blocks.append((self.block_at[at], text, min(self.linked, len(text)), self.links))
+            self.text, self.linked, self.links = [], 0, 0
+
+    @staticmethod
+    def _attributes(html: str, at: int, no_quote: set[str]) -> tuple[dict[str, str], int]:
+        """The attributes of the tag whose name ends at `at`, and where it ends (after its >); -1 if it never does.
+
+        Quotes count only where a value begins, and only if they are closed somewhere.
+        """
+        found: dict[str, str] = {}
+        while True:
+            at = GAP.match(html, at).end()
+            if at >= len(html):
+                return found, -1
+            if html[at] == ">":
+                return found, at + 1
+            m = NAME.match(html, at)
+            key, at, value = m[0].lower(), m.end(), ""
+            eq = EQUALS.match(html, at)
+            if eq:
+                at = eq.end()
+                quote = html[at : at + 1]
+                close = html.find(quote, at + 1) if quote in ("'", '"') and quote not in no_quote else -1
+                if close >= 0:
+                    value, at = html[at + 1 : close], close + 1
+                else:
+                    if quote in ("'", '"'):
+                        no_quote.add(quote)
+                    m = BARE.match(html, at)
+                    value, at = m[0], m.end()
+            found.setdefault(key, value)
 
     def _parse(self, html: str) -> None:
         pos, n, no_quote = 0, len(html), set()
-        stack, open_ = [0], {}
-        lower = None
-        links_open = 0
+        stack: list[int] = [0]
+        open_: dict[str, list[int]] = {}  # where on the stack the open elements of a tag are
         search = OPENING.search
 
         def add(raw: str) -> None:
-            if raw and not self.dropped[stack[-1]]:
+            if raw and not self.hidden[stack[-1]]:
                 t = unescape(raw) if "&" in raw else raw
                 self.text.append(t)
-                if links_open:
-                    self.links += len(t.strip())
-
-        def pop() -> None:
-            nonlocal links_open
-            e = stack.pop()
-            open_[self.tag[e]] -= 1
-            if self.tag[e] == "a":
-                links_open -= 1
+                if open_.get("a"):
+                    self.linked += len(t.strip())
 
-        def block_of() -> int:
-            for e in reversed(stack):
-                if self.tag[e] in BLOCK or e == 0:
-                    return e
-            return 0
+        def cut(height: int) -> None:
+            while len(stack) > height:
+                open_[self.tag[stack.pop()]].pop()
 
         while pos < n:
             m = search(html, pos)
@@ -107,148 +143,118 @@ class Page:
                 end = html.find("-->", m.end() - 2)
                 pos = n if end < 0 else end + 3
                 continue
-            # the tag ends at the first > outside quotes; a quote without its partner is an ordinary character
-            at = m.end()
-            while True:
-                end = html.find(">", at)
+            if not m[2]:
+                end = html.find(">", m.end())
                 if end < 0:
-                    break
-                part = html[at:end]
-                q = min((i for i in (part.find('"'), part.find("'")) if i >= 0), default=-1)
-                if q < 0:
-                    break
-                quote = part[q]
-                close = html.find(quote, at + q + 1) if quote not in no_quote else -1
-                if close < 0:
-                    no_quote.add(quote)
-                    at += q + 1
-                    continue
-                at = close + 1
-            if end < 0:
-                if not m[2]:
                     add(html[m.start() :])
-                break
-            attributes, pos = html[m.end() : end], end + 1
-            name = (m[2] or "").lower()
-            if not name:
+                    break
+                pos = end + 1
                 continue
+            name = m[2].lower()
+            attributes, pos = self._attributes(html, m.end(), no_quote)
+            if pos < 0:
+                break
             if m[1]:
                 if name in BLOCK or name == "br":
-                    self._flush(block_of())
+                    self._flush(stack[-1])
                 if open_.get(name):
-                    while self.tag[stack[-1]] != name:
-                        pop()
-                    pop()
+                    cut(open_[name][-1])
                 continue
             if name == "br":
                 add(" ")
                 continue
             if name in VOID:
                 if name in BLOCK:
-                    self._flush(block_of())
+                    self._flush(stack[-1])
                 continue
             if name in RAW:
-                if lower is None:
-                    lower = html.lower()
-                end = lower.find(f"</{name}", pos)
-                pos = n if end < 0 else (lower.find(">", end) + 1 or n)
+                m = RAW[name].search(html, pos)
+                end = html.find(">", m.end()) if m else -1
+                pos = n if end < 0 else end + 1
                 continue
             if name in BLOCK:
-                self._flush(block_of())
+                self._flush(stack[-1])
                 if name in CLOSES_P and open_.get("p"):
-                    while self.tag[stack[-1]] != "p":
-                        pop()
-                    pop()
+                    cut(open_["p"][-1])
             if name in IMPLIED:
-                closes, fence = IMPLIED[name]
-                if any(open_.get(c) for c in closes):
-                    top = next((i for i in range(len(stack) - 1, 0, -1) if self.tag[stack[i]] in fence), 0)
-                    first = next((i for i in range(top + 1, len(stack)) if self.tag[stack[i]] in closes), None)
-                    while first is not None and len(stack) > first:
-                        pop()
-            if attributes.endswith("/") and name not in BLOCK and name not in ("a", "span", "b", "i", "em", "strong"):
-                continue
-            if len(stack) >= DEPTH:
-                continue
+                closes, fences = IMPLIED[name]
+                fence = max((open_[f][-1] for f in fences if open_.get(f)), default=0)
+                above = [open_[c][i] for c in closes if open_.get(c) and (i := bisect_right(open_[c], fence)) < len(open_[c])]
+                if above:
+                    cut(min(above))
             up = stack[-1]
+            at = len(self.tag)
+            within = bool(open_.get("article") or open_.get("main"))
             self.parent.append(up)
             self.tag.append(name)
-            self.dropped.append(self.dropped[up] or self._no_content(name, attributes, open_))
-            stack.append(len(self.tag) - 1)
-            open_[name] = open_.get(name, 0) + 1
-            links_open += name == "a"
-        self._flush(block_of())
-
-    @staticmethod
-    def _no_content(name: str, attributes: str, open_: dict) -> bool:
-        if name in DROP:
-            return True
-        within = bool(open_.get("article") or open_.get("main"))
-        if name == "header" and not within:
-            return True
-        if "=" not in attributes and "hidden" not in attributes:
-            return False
-        words: list[str] = []
-        for k, a, b, c, hidden in ATTRIBUTE.findall(attributes):
-            value, k = a or b or c, k.lower()
-            if hidden or (k == "aria-hidden" and value == "true") or (k == "style" and HIDDEN_STYLE.search(value)):
-                return True
-            if k == "role" and value.lower() in ROLES:
-                return True
-            if k in ("class", "id"):
-                words += [w.lower() for w in NAME_WORDS.findall(value)]
-        if not words or (name in NEVER_DROPPED and not {"comment", "comments", "ad", "ads", "advert", "sponsored", "promo", "related"} & set(words)) or name in ("html", "body"):
-            return False
-        return bool(NOT_CONTENT & set(words)) or (not within and bool(HEADER_WORDS & set(words)))
+            self.hidden.append(self.hidden[up] or name in DROP or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(HIDDEN_STYLE.search(attributes.get("style", ""))))
+            names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+            odd = name in ASIDE or (name == "header" and not within) or attributes.get("role", "").lower() in ROLES or says_no(names, within)
+            self.unlikely.append(odd and name not in ("html", "body", "main"))
+            self.block_at.append(at if name in BLOCK else self.block_at[up])
+            open_.setdefault(name, []).append(len(stack))
+            stack.append(at)
+            self.links += name == "a"
+        self._flush(stack[-1])
 
     def main_blocks(self) -> list[str]:
         parent, tag = self.parent, self.tag
         size = len(tag)
-        score, chars, linked = [0.0] * size, [0] * size, [0] * size
-        for e, text, links in self.blocks:
+        # points, characters and links of the whole subtree of an element
+        points, chars, linked, links, commas = [0.0] * size, [0] * size, [0] * size, [0] * size, [0] * size
+        given: list[tuple[int, float]] = []
+        for e, text, in_links, n in self.blocks:
             chars[e] += len(text)
-            linked[e] += links
-            if tag[e] in PROSE and len(text) >= 25:
-                points = 1 + text.count(",") + min(len(text) / 100, 3)
-                # text right inside a container counts for the container itself
-                at = e if tag[e] in ("div", "section", "article", "main", "body", "td") else parent[e]
-                share = 1.0
-                for level in range(4):
-                    if at < 0:
-                        break
-                    score[at] += points * share
-                    at, share = parent[at], (0.5, 0.25, 0.125, 0)[level]
+            linked[e] += in_links
+            links[e] += n
+            commas[e] += text.count(",") + text.endswith((".", "!", "?", "\u3002"))
+            if tag[e] in PROSE and len(text) >= PARAGRAPH:
+                value = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - in_links / len(text))
+                points[e] += value
+                given.append((e, value))
         for e in range(size - 1, 0, -1):
-            chars[parent[e]] += chars[e]
-            linked[parent[e]] += linked[e]
-        bonus = {"article": 25.0, "main": 20.0}
+            for sums in (points, chars, linked, links, commas):
+                sums[parent[e]] += sums[e]
+        out = [False] * size
+        for e in range(1, size):
+            spared = points[0] - points[e] < max(1.0, REST * points[e]) and chars[0] - chars[e] < chars[e]
+            out[e] = out[parent[e]] or self.hidden[e] or (self.unlikely[e] and not spared)
+        # text right inside a container counts for the container itself, else for the element above
+        score = [0.0] * size
+        for e, value in given:
+            at = e if tag[e] in OWN else parent[e]
+            for share in SHARES:
+                if at < 0 or out[e]:
+                    break
+                score[at] += value * share
+                at = parent[at]
         density = [linked[e] / chars[e] if chars[e] else 0.0 for e in range(size)]
-        final = [(score[e] + bonus.get(tag[e], 0.0) * (chars[e] > 0)) * (1 - density[e]) for e in range(size)]
-        best = max((e for e in range(size) if final[e] > 0 and tag[e] in BLOCK and not self.dropped[e]), key=lambda e: (final[e], -e), default=0)
-        kept = {best}
-        at = best
-        while at > 0 and tag[at] not in ("article", "main"):
-            at = parent[at]
-        if at > 0:
-            # the whole article; of nested ones the outermost, and main only if no article has the best container
-            top = at
-            while (up := next((p for p in self._above(top) if tag[p] == "article"), 0)) and tag[at] == "article":
-                top = up
-            kept = {top}
-        elif best > 0 and tag[best] not in ("body", "html"):
+        final = [(score[e] + BONUS.get(tag[e], 0.0) * (chars[e] > 0)) * (1 - density[e]) for e in range(size)]
+        best = max((e for e in range(size) if final[e] > 0 and tag[e] in BLOCK and not out[e]), key=lambda e: (final[e], -e), default=0)
+        top = self._round(best)
+        kept = {top}
+        if top == best and best > 0 and tag[best] not in ("body", "html", "article", "main"):
             limit, before = max(10.0, 0.2 * final[best]), True
-            for e in (e for e in range(1, size) if parent[e] == parent[best] and not self.dropped[e]):
+            for e in (e for e in range(1, size) if parent[e] == parent[best] and not out[e]):
                 before = before and e != best
-                if final[e] >= limit or (tag[e] == "p" and chars[e] >= 25 and density[e] < 0.25) or (before and tag[e] in ("h1", "h2") and chars[e]):
+                if final[e] >= limit or (tag[e] == "p" and chars[e] >= PARAGRAPH and density[e] < 0.25) or (before and tag[e] in ("h1", "h2") and chars[e]):
                     kept.add(e)
-        inside = [e in kept or e == 0 and 0 in kept for e in range(size)]
+        inside = [e in kept or 0 in kept for e in range(size)]
         for e in range(1, size):
+            # a container of links, with some words between them at most
+            listing = e not in kept and tag[e] in CONTAINERS and links[e] > 1 and (density[e] > 0.5 or (density[e] > 0.25 and chars[e] < 100 and not commas[e]))
+            out[e] = out[e] or out[parent[e]] or (listing and points[0] - points[e] >= 1)
             inside[e] = inside[e] or inside[parent[e]]
-        return [text for e, text, _ in self.blocks if inside[e] and not self.dropped[e]]
+        return [text for e, text, _, _ in self.blocks if inside[e] and not out[e]]
 
-    def _above(self, e: int) -> Iterator[int]:
-        while (e := self.parent[e]) > 0:
-            yield e
+    def _round(self, best: int) -> int:
+        """The outermost article that holds an element, else the main element that does, else the element."""
+        found, main, e = 0, 0, best
+        while e > 0:
+            found = e if self.tag[e] == "article" else found
+            main = e if self.tag[e] == "main" else main
+            e = self.parent[e]
+        return found or main or best
 
 
 def main_text(html: str | None) -> str:

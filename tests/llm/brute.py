@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import xxhash
 
@@ -141,3 +142,122 @@ def kd_shards(rows, depth, tolerance=0.002):
         return split(2 * node, level + 1, sides[0]) | split(2 * node + 1, level + 1, sides[1])
 
     return split(0, 0, list(body))
+
+
+class Tree(HTMLParser):
+    """Nodes [tag, attributes, parts] of a page whose tags match, but for paragraphs, which a block closes; parts are nodes and strings."""
+
+    BLOCK = set("html head body nav ul li div article section main aside footer header form p h1 h2 h3 blockquote".split())
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.path = [["#root", {}, []]]
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.path[-1][2].append(" ")
+        if tag in ("meta", "link", "img", "br"):
+            return
+        if tag in self.BLOCK and any(n[0] == "p" for n in self.path):
+            while self.path.pop()[0] != "p":
+                pass
+        node = [tag, dict(attrs), []]
+        self.path[-1][2].append(node)
+        self.path.append(node)
+
+    def handle_endtag(self, tag):
+        if any(n[0] == tag for n in self.path):
+            while self.path.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.path[-1][2].append(data)
+
+
+def main_text(html, scoring=True):
+    """Tree scoring by recursion over plain nodes; without scoring, every block of the body."""
+    root, where = Tree(html).path[0], []  # where: (ancestors from the root, text, characters in links, links)
+
+    def collect(node, above):
+        run, linked, n = [], 0, 0
+
+        def flush():
+            nonlocal run, linked, n
+            text = " ".join("".join(run).split())
+            if text:
+                where.append((above, text, min(linked, len(text)), n))
+            run, linked, n = [], 0, 0
+
+        def inline(x, in_link):
+            nonlocal linked, n
+            for y in x[2]:
+                if isinstance(y, str):
+                    run.append(y)
+                    linked += len(y.strip()) * in_link
+                elif y[0] in ("script", "style", "title", "head"):
+                    continue
+                elif y[0] in Tree.BLOCK:
+                    flush()
+                    collect(y, [*above, y])
+                else:
+                    n += y[0] == "a"
+                    inline(y, in_link or y[0] == "a")
+
+        inline(node, False)
+        flush()
+
+    collect(root, [root])
+    if not scoring:
+        return "\n".join(t for _, t, _, _ in where)
+    prose = {"p", "blockquote", "div", "section", "article", "main", "li", "body"}
+    value = lambda b: (1 + b[1].count(",") + min(len(b[1]) / 100, 3)) * (1 - b[2] / len(b[1])) if b[0][-1][0] in prose and len(b[1]) >= 25 else 0
+    under = lambda x: [b for b in where if any(a is x for a in b[0])]
+    points = lambda x: sum(map(value, under(x)))
+    chars = lambda x: sum(len(b[1]) for b in under(x))
+
+    def odd(x, above):
+        no = x[0] in ("nav", "footer", "aside", "form") or (x[0] == "header" and not any(a[0] in ("article", "main") for a in above)) or x[1].get("class") in ("ad", "comments", "sidebar")
+        rest = points(root) - points(x)
+        return no and not (rest < max(1, 0.05 * points(x)) and chars(root) - chars(x) < chars(x))
+
+    nodes, gone = [], set()
+
+    def walk(x, above):
+        nodes.append((x, above))
+        if (above and id(above[-1]) in gone) or odd(x, above):
+            gone.add(id(x))
+        for y in x[2]:
+            if not isinstance(y, str):
+                walk(y, [*above, x])
+
+    walk(root, [])
+    score = {}
+    for b in where:
+        if value(b) and id(b[0][-1]) not in gone:
+            up = b[0][::-1][b[0][-1][0] not in ("div", "section", "article", "main", "body") :]
+            for a, share in zip(up, (1, 0.5, 0.25, 0.125), strict=False):
+                score[id(a)] = score.get(id(a), 0) + value(b) * share
+    density = lambda x: sum(b[2] for b in under(x)) / max(1, chars(x))
+    final = {id(x): (score.get(id(x), 0) + {"article": 25, "main": 20}.get(x[0], 0) * (chars(x) > 0)) * (1 - density(x)) for x, _ in nodes}
+    able = [(x, above) for x, above in nodes if final[id(x)] > 0 and id(x) not in gone and (x[0] in Tree.BLOCK)]
+    best, above = max(able, key=lambda e: final[id(e[0])], default=(root, []))
+    articles = [a for a in [*above, best] if a[0] == "article"] or [a for a in [best, *above[::-1]] if a[0] == "main"][-1:]
+    top = articles[0] if articles else best
+    kept = [top]
+    if top is best and best[0] not in ("#root", "body", "html", "article", "main"):
+        family = [x for x in above[-1][2] if not isinstance(x, str) and id(x) not in gone]
+        for k, x in enumerate(family):
+            first = k < next(i for i, y in enumerate(family) if y is best)
+            if final[id(x)] >= max(10, 0.2 * final[id(best)]) or (x[0] == "p" and chars(x) >= 25 and density(x) < 0.25) or (first and x[0] in ("h1", "h2") and chars(x)):
+                kept.append(x)
+
+    def listing(x):
+        n, marks = sum(b[3] for b in under(x)), sum(b[1].count(",") + b[1].endswith((".", "!", "?")) for b in under(x))
+        links = n > 1 and (density(x) > 0.5 or (density(x) > 0.25 and chars(x) < 100 and not marks))
+        return x[0] in ("div", "section", "ul") and not any(x is k for k in kept) and links and points(root) - points(x) >= 1
+
+    lists = {id(x) for x, _ in nodes if listing(x)}
+    good = lambda b: any(a is k for a in b[0] for k in kept) and not any(id(a) in gone or id(a) in lists for a in b[0])
+    return "\n".join(b[1] for b in where if good(b))

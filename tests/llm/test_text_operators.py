@@ -279,6 +279,41 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+PROSE = "The council met again, as it does every month, and spoke about the bridge, the school and the price of bread."
+OTHER = "Nobody had expected the answer, which came late, but it was clear, short and to the point for once."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        # a quote inside an unquoted value is a character like any other
+        (f"<p title=o'neil>Hello there, this isn't lost, it's fine</p><p>{PROSE}</p>", f"Hello there, this isn't lost, it's fine\n{PROSE}"),
+        # letters that grow when they are lowered, before a script
+        ("<p>" + "\u0130" * 60 + f"</p><script>x</SCRIPT><p>{PROSE}</p>", "\u0130" * 60 + f"\n{PROSE}"),
+        # deep nesting inside something that is dropped
+        (f"<article><p>{PROSE}</p><p>{OTHER}</p></article><nav>" + "<div>" * 450 + "in" + "</div>" * 450 + "Menu text, after all of the nested ones, quite long</nav>", f"{PROSE}\n{OTHER}"),
+        # names that hold a word of the list but say something else
+        (f"<div class='legal-analysis'><p>{PROSE}</p><p>{OTHER}</p></div>", f"{PROSE}\n{OTHER}"),
+        (f"<div class='content has-sidebar overflow-hidden'><p>{PROSE}</p><div id='search-and-rescue'><p>{OTHER}</p></div></div>", f"{PROSE}\n{OTHER}"),
+        (f"<article><p>{PROSE}</p><div>Share on <a>X</a> | <a>links</a></div><p>{OTHER}</p></article>", f"{PROSE}\n{OTHER}"),
+        (f"<article><p>{PROSE}</p><ul><li><a href=1>One more story</a><li><a href=2>Another</a></ul><p>{OTHER}</p></article>", f"{PROSE}\n{OTHER}"),
+        # a form round the whole page
+        (f"<form><p>{PROSE}</p><p>{OTHER}</p></form>", f"{PROSE}\n{OTHER}"),
+        (f"<article><p>{PROSE}</p><p>{OTHER}</p></article><div class='ad-slot'>{PROSE} {OTHER}</div><div class=comments><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div>", f"{PROSE}\n{OTHER}"),
+        ("<p>" + "<b>" * 30_000 + "deep" + "<li>x" * 5_000, "deep\n" + "\n".join(["x"] * 5_000)),
+    ],
+)
+def test_main_text_of_odd_pages(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_main_text_equals_plain_scoring(spark):
+    pages = [r["html"] for r in common.table(spark, "/root/testdata/sf0.01", "pages").collect()]
+    got = [html_text.main_text(h) for h in pages]
+    assert got == [brute.main_text(h) if h else "" for h in pages]
+    assert sum(g != brute.main_text(h, False) for g, h in zip(got, pages, strict=True) if h) > 0.9 * len(pages)
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>é1</p>", "k"), (1, "u", "<p>é1</p>", "k"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert listed(html_text.extract(pages)) == [(1, "u", "é1", 2), (1, "u", "é1", 2), (None, None, "", 0)]
