@@ -1,12 +1,11 @@
 """Quality classifier by attention-based multiple-instance learning: a document is a bag of passages.
 
 Every passage of PASSAGE words is encoded (character classes, word shapes, repetition), a gated attention learned from document labels weighs
-the passages, and the weighted representation is scored. Trained on at most MAX_SIDE documents of either label (smallest hash of doc_id first);
-the encoding runs on the executors, the training, over bags of a few numbers a passage, on the driver. A training bag has at most TRAIN_BAG passages, spread evenly
-over the whole text; in scoring all passages of a text count. Scoring is a narrow map that holds one document's passages at a time.
+the passages, and the weighted representation is scored. Trained on at most MAX_SIDE documents of either label, whole ones, with MAX_BYTES of text in all (smallest hash of doc_id first);
+the encoding runs on the executors, the training, over bags of WIDTH numbers a passage, on the driver. Scoring is a narrow map that holds one document's passages at a time.
 
-Defined results: null, empty and blank texts are one empty passage; without training rows of both labels the score is 0.5; repeated rows are scored each;
-an empty table gives no rows. Labels are read only for training rows and never enter a score.
+Defined results: null, empty and blank texts are one empty passage; very long texts are a bag of as many passages as they have; without training rows of both labels the score is 0.5; repeated rows are scored each, and of
+rows with one doc_id the one whose text has the smallest hash is trained on; an empty table gives no rows; columns other than doc_id and text are ignored, whatever their names. Labels are read only for training rows and never enter a score.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
@@ -24,8 +24,8 @@ PASSAGE = 60
 MAX_SIDE = 2_500
 HIDDEN, GATE, EPOCHS = 24, 12, 60
 THRESHOLD = 0.7
-#: Passages of a training bag are spread evenly over the text if there are more (training only).
-TRAIN_BAG = 64
+#: Bound of the training texts of either label together; a passage of them takes some 400 bytes and becomes WIDTH numbers on the driver.
+MAX_BYTES = 200_000_000
 
 
 def _classes() -> np.ndarray:
@@ -42,6 +42,14 @@ N_CLASS = 11
 WIDTH = 2 * N_CLASS + 8
 
 
+def _again(things: list[bytes]) -> np.ndarray:
+    """1 for each that equals an earlier one, else 0."""
+    first = dict(zip(reversed(things), range(len(things) - 1, -1, -1), strict=True))
+    new = np.zeros(len(things))
+    new[list(first.values())] = 1
+    return 1 - new
+
+
 def passages(text: str | None) -> np.ndarray:
     """One row of WIDTH numbers for each passage of the whole text."""
     data = (text or "").encode("utf-8", "replace")
@@ -73,9 +81,13 @@ def passages(text: str | None) -> np.ndarray:
         kinds = set(w)
         out[j, k + 3] = len(kinds) / len(w)
         out[j, k + 4] = sum(map(bytes.__eq__, w, w[1:])) / len(w)
+    # of the lines that begin in a passage, how many the text had before, and the same of its words
+    passage_of = lambda at: np.minimum(np.searchsorted(cuts, at, "right"), len(cuts)) - 1
     lines = data.split(b"\n")
-    out[:, k + 5] = 1 - len(set(lines)) / len(lines)
-    out[:, k + 6] = len(set(words)) / n
+    begin = np.cumsum([0] + [len(x) + 1 for x in lines[:-1]])
+    at = np.maximum(passage_of(begin), 0)
+    out[:, k + 5] = np.bincount(at, _again(lines), len(first)) / np.maximum(1, np.bincount(at, minlength=len(first)))
+    out[:, k + 6] = 1 - np.add.reduceat(_again(words), first) / count
     out[:, k + 7] = np.log1p(count) / np.log1p(PASSAGE)
     return out.astype(np.float32)
 
@@ -147,28 +159,27 @@ class Attention:
         return float(self.forward((x - self.mean) / self.scale, np.zeros(len(x), np.int64), 1)["p"][0])
 
 
-def training(docs: DataFrame, labels: DataFrame, bound: int = MAX_SIDE) -> DataFrame:
+def training(docs: DataFrame, labels: DataFrame, bound: int = MAX_SIDE, most: int = MAX_BYTES) -> DataFrame:
+    """doc_id, text, quality of the bounded sample: one row a doc_id, whole texts, in the order of the ids' hashes while they fit."""
     rows = labels.where("doc_id is not null and quality in (0, 1)").where(common.crc_mod(F.col("doc_id"), 4) != 2).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     sides = [rows.where(F.col("quality") == v).orderBy(*order).limit(bound) for v in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(sides[0].unionByName(sides[1])), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(sides[0].unionByName(sides[1])), "doc_id")
+    one = found.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # 2 x bound rows at most from here on
+    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("quality").orderBy(*order))
+    return one.withColumn("_upto", upto).where(F.col("_upto") <= most // 2).drop("_upto")
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
-        for t in b.column("text"):
-            x = passages(t.as_py())
-            if len(x) > TRAIN_BAG:
-                x = x[np.linspace(0, len(x) - 1, TRAIN_BAG).astype(int)]
-            rows.append(x.tobytes())
+        rows = [passages(t.as_py()).tobytes() for t in b.column("text")]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.binary()), b.column("quality")], ["doc_id", "x", "quality"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Attention | None:
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # at most 2 x MAX_SIDE bags of TRAIN_BAG x WIDTH floats; sorted, so that the order of tasks has no influence
-    got = training(docs, labels).mapInArrow(common.lean(_bags), f"doc_id {kind}, x binary, quality int").limit(2 * MAX_SIDE).collect()
+    # at most 2 x MAX_SIDE bags of MAX_BYTES of text; sorted, so that the order of tasks has no influence
+    got = training(docs, labels).select("doc_id", "text", "quality").mapInArrow(common.lean(_bags), f"doc_id {kind}, x binary, quality int").collect()
     got = sorted(got, key=lambda r: (r["doc_id"], bytes(r["x"])))
     y = np.array([r["quality"] for r in got], float)
     if not len(y) or y.min() == y.max():
