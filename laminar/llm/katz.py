@@ -25,7 +25,6 @@ n tokens of probability one); an empty table gives no rows; extra columns are ig
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,10 +151,13 @@ def blocks(docs: DataFrame) -> tuple[DataFrame, int]:
     from pyspark.sql.pandas.types import to_arrow_type
 
     made = texts.mapInArrow(common.lean(_blocks(to_arrow_type(kind))), schema)
-    name = f"katz_blocks_{uuid.uuid4().hex}"
+    path = common.new_path(spark, "katz_blocks")
+    name = path.rpartition("/")[2].replace("-", "_")
     buckets = max(1, min(20_000, math.ceil(size / (6 * BLOCK_TOKENS))))
-    made.write.format("parquet").option("path", f"{common.shared_dir(spark)}/{name}").bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
-    return spark.table(name), buckets
+    made.write.format("parquet").option("path", path).bucketBy(buckets, "block").sortBy("block").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the frame knows the files and their buckets; nothing stays in the catalog
+    return table, buckets
 
 
 # ---- step 2: unigrams
@@ -417,7 +419,7 @@ def _answers(table: DataFrame, buckets: int, *cols: str) -> DataFrame:
 
 def written_by_kind(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{common.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = common.new_path(spark, name)
     schema = df.schema
     df.write.partitionBy("kind").parquet(path)
     return spark.read.schema(schema).parquet(path)
