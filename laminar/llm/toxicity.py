@@ -1,19 +1,21 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text, normalised by length, with exception phrases.
 
-Folding: A-Z to lower case, lookalike letters of other scripts and digits or signs that stand for letters to the Latin letter, everything
-that is no letter to a space. Lexicon entries are whole words (` idiot `) or word beginnings (` vequ`), learned from labelled rows: those of MAX_SIDE toxic
-and MAX_SIDE clean training texts (distinct ones, so that copies count once; smallest hash of doc_id first) whose document frequency is pure enough. Counting is a Spark aggregation; only
-the entries, LEXICON at most, reach the driver. A match inside an exception phrase doesn't count. The score is a logistic function of
+Folding: compatibility forms (wide, mathematical, ligatures) and accents to the plain letter, A-Z to lower case, what has no width away, lookalike letters of other scripts and digits or signs that stand for letters to the
+Latin letter, three or more of a letter to one, single letters in a row to a word, everything that is no letter to a space. Lexicon entries are whole words of any length (` idiot `) or word beginnings (` vequ`), learned
+from labelled rows: those of MAX_SIDE toxic and MAX_SIDE clean training texts (distinct ones, so that copies count once; smallest hash of doc_id first) whose document frequency is more than chance. Counting is a Spark
+aggregation; only patterns frequent enough to pass that test reach the driver, and all that pass are entries. A match inside an exception phrase, a parameter, doesn't count. The score is a logistic function of
 the summed weights and of the weights per 100 words.
 
 Defined results: null and empty texts match nothing and get the score of a text without matches; labels are read only for training rows and never enter a
-score; without toxic or clean training rows the lexicon is empty and the score 0; repeated rows are scored each; an empty table gives no rows.
+score; without toxic or clean training rows the lexicon is empty and the score 0; repeated rows are scored each; an empty table gives no rows; very long texts are scored whole;
+entries that tie are taken longest first, then in order of their letters; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +27,8 @@ from . import common
 
 #: Bound of the training sample: distinct labelled texts of either kind.
 MAX_SIDE = 3_000
-LEXICON = 2_000
-PREFIX = (4, 10)
+#: Lengths of word beginnings that may be entries; whole words may have any length.
+PREFIX = (4, 30)
 #: Least log odds of an entry, and least share of its documents in which its neighbours differ.
 PURE, VARIED = 1.5, 0.6
 #: Bound of the expected number of entries by chance, and weights that count as the same.
@@ -44,10 +46,10 @@ LOOKALIKES = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s"}
 
 
-def _table() -> dict[int, str]:
-    table = {ord(k): v for k, v in LOOKALIKES.items()} | {ord(k.upper()): v for k, v in LOOKALIKES.items() if len(k.upper()) == 1}
+def _table() -> dict[int, str | None]:
+    table: dict[int, str | None] = dict.fromkeys([0xAD, 0x34F, 0x61C, 0x180E, 0xFEFF, *range(0x200B, 0x2010), *range(0x2060, 0x2065), *range(0x300, 0x370), *range(0xFE00, 0xFE10)])
+    table |= {ord(k): v for k, v in LOOKALIKES.items()} | {ord(k.upper()): v for k, v in LOOKALIKES.items() if len(k.upper()) == 1}
     table |= {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-    table |= {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
     return table
 
 
@@ -56,12 +58,20 @@ LEET = str.maketrans(SUBSTITUTES)
 #: Whole words that hold both a letter and a digit or sign, to which substitutes apply; numbers stay numbers.
 MIXED = re.compile(r"(?<![\w@$])(?=[\w@$]*[013457@8$])(?=[\w@$]*[^\W\d_])[\w@$]+")
 NO_LETTER = re.compile(r"[\W\d_]+")
+#: Strokes between letters that aren't i themselves stand for i; three or more of a letter for one; single letters with the same sign or blank between them are a word.
+STROKE = re.compile(r"(?<=[^\W\d_i])[!|](?=[^\W\d_i])")
+LONG = re.compile(r"([^\W\d_])\1{2,}")
+SPACED = re.compile(r"(?<![^\W_])[^\W\d_]([ .*_-])[^\W\d_](?:\1[^\W\d_])+(?![^\W_])")
 
 
 def fold(text: str | None) -> str:
     """Folded words, a space before and after each."""
-    t = (text or "").translate(FOLD)
+    t = text or ""
+    t = t.lower() if t.isascii() else unicodedata.normalize("NFKD", t).translate(FOLD)
     t = MIXED.sub(lambda m: m[0].translate(LEET), t)
+    if "!" in t or "|" in t:
+        t = STROKE.sub("i", t)
+    t = SPACED.sub(lambda m: m[0][::2], LONG.sub(r"\1", t))
     return f" {NO_LETTER.sub(' ', t).strip()} "
 
 
@@ -69,8 +79,7 @@ def candidates(folded: str) -> set[str]:
     """Patterns of a document: its words and their beginnings."""
     out = set()
     for w in set(folded.split()):
-        if 3 <= len(w) <= 30:
-            out.add(f" {w} ")
+        out.add(f" {w} ")
         out.update(f" {w[:k]}" for k in range(PREFIX[0], min(PREFIX[1], len(w)) + 1))
     return out
 
@@ -194,10 +203,12 @@ def chosen(counts: DataFrame, toxic: DataFrame, n1: int, n0: int) -> dict[str, f
     An entry is more frequent in toxic documents than chance explains, given how many patterns were tried, and occurs between different words: what occurs
     in one context only comes from copies of one document.
     """
-    tried = counts.count()
+    tried, share = counts.count(), n1 / (n1 + n0)
+    # what fewer toxic documents than this have passes the test below in no case
+    least = max(3, math.ceil(math.log(max(1, tried) / SURE) / -math.log(share)))
     odds = F.log((F.col("a") + 0.5) / (n1 + 1) * F.lit(n0 + 1) / (F.col("b") + 0.5))
-    rows = counts.where("a >= 3").withColumn("w", odds).where(F.col("w") >= PURE).orderBy(F.desc(F.col("a") * F.col("w")), "pattern").limit(4 * LEXICON).collect()
-    rows = [r for r in rows if chance(r["a"], r["b"], n1 / (n1 + n0)) * max(1, tried) < SURE]
+    rows = counts.where(F.col("a") >= least).withColumn("w", odds).where(F.col("w") >= PURE).collect()
+    rows = [r for r in rows if chance(r["a"], r["b"], share) * max(1, tried) < SURE]
     if not rows:
         return {}
     met = toxic.mapInArrow(common.lean(_contexts([r["pattern"] for r in rows])), "pattern string, context string").groupBy("pattern").agg(F.count_distinct("context").alias("n"))
@@ -216,10 +227,10 @@ def chosen(counts: DataFrame, toxic: DataFrame, n1: int, n0: int) -> dict[str, f
         # a longer pattern adds something only if it is clearly purer than a beginning of it
         if all(w > kept[p[:k]] + NEARLY for k in range(2, len(p)) if p[:k] in kept):
             kept[p] = w
-    return dict(list(kept.items())[:LEXICON])
+    return kept
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, exceptions: list[str] = EXCEPTIONS) -> Lexicon:
     texts = common.written(labelled_texts(docs, labels), "toxicity-texts")
     rows = common.written(training(docs, texts), "toxicity-sample")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -228,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     pairs = rows.select("text", "toxic").mapInArrow(common.lean(_candidates), "pattern string, toxic int")
     counts = pairs.groupBy("pattern").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") == 0).alias("b")).where("a + b >= 3")
     counts = common.written(counts, "toxicity-patterns")
-    lexicon = Lexicon(chosen(counts, rows.where("toxic = 1").select("text"), sizes[1], sizes[0]), [f" {e} " for e in EXCEPTIONS])
+    lexicon = Lexicon(chosen(counts, rows.where("toxic = 1").select("text"), sizes[1], sizes[0]), [fold(e) for e in exceptions])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -330,6 +330,20 @@ def test_folding():
     assert toxicity.fold(None) == "  "
 
 
+def test_folding_of_disguises():
+    for odd in ("id\u200biot", "id\u00adiot", "i\u0301diot", "𝐢𝐝𝐢𝐨𝐭", "id!ot", "id|ot", "idioooot", "i d i o t", "i.d.i.o.t", "x i-d-i-o-t!", "ÌDÍÓT"):
+        assert " idiot " in toxicity.fold(odd), odd
+    assert toxicity.fold("well done! ok") == " well done ok "
+
+
+def test_words_of_any_length_become_entries(spark):
+    d, marks = toxic_sample(spark)
+    long = "verylongwordofmorethanthirtylettersinall"
+    d = d.selectExpr("doc_id", f"replace(replace(text, 'blargh', '笨'), 'zonkers', '{long}') text")
+    lexicon = toxicity.fit(d, marks)
+    assert " 笨 " in lexicon.weights and any(p.startswith(" verylong") for p in lexicon.weights)
+
+
 def toxic_sample(spark):
     rows, marks = [], []
     letters = random.Random(9)
@@ -397,6 +411,48 @@ def test_quality_model_separates_and_handles_odd_rows(spark, docs, none):
     assert quality_model.scored(none, model, ["doc_id"]).count() == 0
 
 
+def test_training_takes_whole_texts_and_one_row_a_doc_id(spark):
+    long = " ".join(words(60 * 200, 5))
+    d = spark.createDataFrame([(1, long), (1, long + " more"), (1, long), (2, "short"), (4, "left out")], "doc_id long, text string")
+    rows = quality_model.training(d, labels(spark, [(1, 1, 0), (2, 0, 0), (4, 0, 0)]), 1).collect()
+    assert sorted(r["doc_id"] for r in rows if r["quality"] == 1) == [1] and len(rows) == 2
+    assert len(quality_model.passages(long)) == 200
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([long]), pa.array([1], pa.int32())], ["doc_id", "text", "quality"])
+    assert len(next(quality_model._bags([batch])).column("x")[0].as_py()) == 200 * quality_model.WIDTH * 4
+    assert quality_model.training(d, labels(spark, [(1, 1, 0)]), 1, most=1000).count() == 0
+
+
+def test_attention_scores_equal_plain_loops():
+    import math
+
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    m = quality_model.Attention(r.normal(size=quality_model.WIDTH), r.uniform(0.5, 2, quality_model.WIDTH))
+    x = r.normal(size=(4, quality_model.WIDTH))
+    n_h, n_g = len(m.b), len(m.q)
+    hidden, raw = [], []
+    for row in x:
+        z = [(v - a) / b for v, a, b in zip(row, m.mean, m.scale, strict=True)]
+        h = [math.tanh(sum(z[i] * m.W[i][j] for i in range(len(z))) + m.b[j]) for j in range(n_h)]
+        t = [math.tanh(sum(h[i] * m.V[i][j] for i in range(n_h))) for j in range(n_g)]
+        g = [1 / (1 + math.exp(-sum(h[i] * m.U[i][j] for i in range(n_h)))) for j in range(n_g)]
+        hidden.append(h)
+        raw.append(sum(a * b * q for a, b, q in zip(t, g, m.q, strict=True)))
+    a = [math.exp(e) / sum(map(math.exp, raw)) for e in raw]
+    z = [sum(a[k] * hidden[k][j] for k in range(4)) for j in range(n_h)]
+    assert m.score(x) == pytest.approx(1 / (1 + math.exp(-(sum(u * v for u, v in zip(z, m.c, strict=True)) + m.d[0]))))
+
+
+def test_repeated_lines_and_words_count_in_their_passage():
+    first = [f"w{i}" for i in range(60)]
+    x = quality_model.passages(" ".join(first) + "\n" + " ".join(first) + "\nnew line\nnew line\nnew line")
+    assert len(x) == 3 and x[0, -2] == 1 and x[1, -2] == 0
+    assert x[0, -3] == 0 and x[2, -3] == pytest.approx(2 / 3)
+
+
 def test_attention_gradient():
     import numpy as np
 
