@@ -68,6 +68,17 @@ def answer(s: Column) -> Column:
     return F.struct(status.alias("status"), *fields, F.when(ok, sounds).alias("onomatopoeia"))
 
 
+def strict_answer(s: Column) -> Column:
+    """answer() of a text that must be the object and nothing else, with texts and a list of texts; any other text fails the query."""
+    value = F.try_parse_json(s)
+    kind = lambda k: F.schema_of_variant(F.try_variant_get(value, f"$.{k}", "variant"))
+    good = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+    for k in REQUIRED:
+        good = good & F.coalesce(kind(k) == "STRING", F.lit(False))
+    good = good & F.coalesce(kind("onomatopoeia").isin("ARRAY<STRING>", "ARRAY<VOID>"), F.lit(False))
+    return F.when(good, answer(s)).otherwise(F.raise_error(F.concat(F.lit("no such answer: "), F.coalesce(F.substring(s, 1, 200), F.lit("null")))).cast("void"))
+
+
 def verdict(s: Column, field: str = "same_character") -> Column:
     """The truth of a field of a JSON answer as Python sees it: a text is true unless empty; null if there is no such field."""
     value = F.try_parse_json(json_object(s))

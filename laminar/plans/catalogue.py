@@ -268,6 +268,17 @@ def stage_nested_artifact(spark, sf_dir):
     return flat.select("panel_id", "b.bubble_id", *[F.col("b.bbox")[i].alias(k) for i, k in enumerate("xywh")])
 
 
+@query("cross_stage_ids", with_boxes(J1 + """
+, a AS (SELECT CAST(page_id AS VARCHAR) || '_b' || printf('%03d', idx) AS bubble_id, CAST(page_id AS VARCHAR) || '_p' || printf('%03d', panel_idx) AS panel_id FROM placed WHERE kind = 'text' AND panel_idx IS NOT NULL)
+SELECT bubble_id, panel_id, w * h AS area FROM a JOIN (SELECT CAST(page_id AS VARCHAR) || '_b' || printf('%03d', idx) AS bubble_id, w, h FROM boxes WHERE kind = 'text') b USING (bubble_id)"""))
+def cross_stage_ids(spark, sf_dir):
+    """Two stages' rows of a bubble meet by the id that both make for it."""
+    bubble = X.numbered_id(F.col("page_id"), "b", F.col("idx")).alias("bubble_id")
+    one = placed(spark, sf_dir).where("kind = 'text' AND panel_idx IS NOT NULL").select(bubble, X.numbered_id(F.col("page_id"), "p", F.col("panel_idx")).alias("panel_id"))
+    other = boxes(spark, sf_dir).where("kind = 'text'").select(bubble, (F.col("w") * F.col("h")).alias("area"))
+    return one.join(other, "bubble_id")
+
+
 @query("id_format", with_boxes(" SELECT DISTINCT CAST(page_id AS VARCHAR) || '_p' || printf('%03d', idx) AS panel_id, 'char_' || printf('%03d', page_id) AS character_id FROM boxes WHERE kind = 'panel'"))
 def id_format(spark, sf_dir):
     p = boxes(spark, sf_dir).where("kind = 'panel'")

@@ -78,3 +78,9 @@ def panel_counts(artifacts: DataFrame) -> DataFrame:
     """page_id, panels, bubbles of artifacts whose panels hold bubbles."""
     total = F.aggregate(F.transform("panels", lambda p: F.size(p["bubbles"])), F.lit(0), lambda a, n: a + n)
     return artifacts.select("page_id", F.size("panels").alias("panels"), total.alias("bubbles"))
+
+
+def page_counts(artifacts: DataFrame) -> DataFrame:
+    """page_id and, for every list column of an artifact, how many it holds on the page."""
+    lists = [f.name for f in artifacts.schema.fields if f.dataType.typeName() == "array"]
+    return artifacts.select("page_id", *[F.coalesce(F.size(c), F.lit(0)).alias(c) for c in lists])

@@ -18,7 +18,8 @@ from laminar.operators import attribution, identity, layout, raster
 
 from .pipeline import Stage
 
-#: Least scores by kind (fixed values).
+#: Least scores of a text with its tail, and of boxes by kind (fixed values).
+PAIRED = 0.3
 SCORES = {"panel": 0.2, "character": 0.3, "text": 0.3, "tail": 0.34}
 
 
@@ -77,7 +78,10 @@ class CutPanels(Stage, of="panel_detection", backend="cv_heuristic"):
 class DetectedBubbles(Stage, of="bubble_detection", backend="magi"):
     def transform(self, inputs: dict[str, DataFrame]) -> DataFrame:
         boxes = detected(inputs["detections"], self.options)
-        pairs = inputs["tail_pairs"].select(F.struct("comic_id", "page_id").alias("page_id"), "ord", F.col("text_idx").cast("bigint").alias("text_idx"), F.col("tail_idx").cast("bigint").alias("tail_idx"))
+        met = inputs["tail_pairs"]
+        if "score" in met.columns:
+            met = met.where(F.coalesce("score", F.lit(1.0)) >= float(self.options.get("text_tail_matching_threshold", PAIRED)))
+        pairs = met.select(F.struct("comic_id", "page_id").alias("page_id"), "ord", F.col("text_idx").cast("bigint").alias("text_idx"), F.col("tail_idx").cast("bigint").alias("tail_idx"))
         tails = attribution.tails_of(pairs, boxes.where("kind = 'tail'"))
         said = attribution.speakers(boxes.drop("page", "comic_id"), tails, float(self.options.get("attribution_max_angle_deg", 60.0)))
         figure = boxes.where("kind = 'character'").select("page_id", F.col("idx").alias("character_idx"), _wire(*layout.BOX).alias("attributed_character_bbox"))
@@ -105,14 +109,23 @@ def nested_by_panel(panels: DataFrame, rows: DataFrame, fields: list[str], name:
 
 
 class ReadPanels(Stage, of="vlm_extraction", backend="qwen_vl_ollama"):
-    """Readings chosen by letters, descriptions parsed from answers; answers that can't be used leave empty descriptions."""
+    """Readings chosen by letters, descriptions parsed from answers; answers that can't be used leave empty descriptions.
+
+    Readings and text boxes of a page must match one to one, else the run fails with the page's name (option strict_readings: false lets it pass with empty texts).
+    """
 
     def transform(self, inputs: dict[str, DataFrame]) -> DataFrame:
         boxes = detected(inputs["detections"], self.options)
         placed = layout.assign_to_panel(boxes.where("kind = 'text'"), boxes.where("kind = 'panel'"))
         key = F.struct("comic_id", "page_id").alias("page_id")
         read = inputs["readings"].select(key, F.col("idx").cast("bigint").alias("idx"), X.chosen_reading(F.col("first"), F.col("second"), F.col("second_confidence")).alias("r"))
-        rows = placed.join(read, ["page_id", "idx"], "left").select(
+        met = placed.join(read, ["page_id", "idx"], "left")
+        if self.options.get("strict_readings", True):
+            ours = read.join(inputs["_input"].select(F.struct("comic_id", "page_id").alias("page_id")), "page_id", "left_semi")
+            met = placed.withColumn("_box", F.lit(True)).join(ours.withColumn("_read", F.lit(True)), ["page_id", "idx"], "full")
+            said = F.concat(F.lit("readings and text boxes differ on page "), F.col("page_id.page_id"), F.lit(" at "), F.col("idx").cast("string"))
+            met = met.withColumn("idx", F.when(F.col("_box").isNull() | F.col("_read").isNull(), F.raise_error(said).cast("bigint")).otherwise(F.col("idx")))
+        rows = met.select(
             "page_id", "idx", "panel_idx", X.numbered_id(F.col("page_id.page_id"), "b", F.col("idx")).alias("bubble_id"), F.coalesce("r.text", F.lit("")).alias("dialogue_text"), F.coalesce("r.confidence", F.lit(0.0)).alias("ocr_confidence")
         )
         said = inputs["answers"].select(key, F.col("panel_idx").cast("bigint").alias("panel_idx"), X.answer(F.col("raw")).alias("a"))

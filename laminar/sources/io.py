@@ -85,6 +85,25 @@ def write_json(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     (w.partitionBy(*by) if by else w).json(path)
 
 
+def write_hashed_artifacts(df: DataFrame, root: str, stage: str) -> None:
+    """One JSON text for each (comic_id, page_id, input_hash) of a stage's table, in a folder named by the three and the stage; what is there for other hashes stays."""
+    keys = ["comic_id", "page_id", "input_hash"]
+    body = F.to_json(F.struct(*[c for c in df.columns if c not in keys]), {"ignoreNullFields": "false", "pretty": "true"})
+    rows = df.select("comic_id", "page_id", F.lit(stage).alias("stage"), "input_hash", body.alias("value"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("lineSep", "\n").partitionBy("comic_id", "page_id", "stage", "input_hash").text(root)
+
+
+def read_hashed_artifacts(spark: SparkSession, root: str, stage: str, schema) -> DataFrame:
+    """comic_id, page_id, input_hash and the fields of the artifacts that write_hashed_artifacts() left; folders of other stages are not read."""
+    rows = spark.read.schema("value string, comic_id string, page_id string, stage string, input_hash string").text(root, wholetext=True).where(F.col("stage") == stage)
+    return rows.select("comic_id", "page_id", "input_hash", F.from_json("value", schema).alias("a")).select("comic_id", "page_id", "input_hash", "a.*")
+
+
+def write_log(log: DataFrame, path: str) -> None:
+    """A verification log, a line an entry, in one file: a log has an entry for each question put to the model."""
+    write_json(log.coalesce(1), path)
+
+
 def panel_report(extractions: DataFrame) -> DataFrame:
     """page_id, report: a page's panels, their descriptions and lines as text, in the artifact's order."""
     quoted = lambda s: F.concat(F.lit("'"), F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))

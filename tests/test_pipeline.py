@@ -203,3 +203,72 @@ def test_entry_imports_without_a_session():
     code = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 30)"
     out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True, timeout=120, check=True)
     assert out.stdout.strip() == "True"
+
+
+def test_images_are_read_cut_and_written(spark):
+    import struct
+    import zlib
+
+    import numpy as np
+
+    from laminar.sources import images
+
+    r = np.random.default_rng(5)
+    a = r.integers(0, 256, (9, 7, 3), dtype=np.uint8)
+    assert (images.decoded(images.png(a)) == a).all() and (images.decoded(b"P6\n# note\n7 9\n255\n" + a.tobytes()) == a).all()
+    flat = a.reshape(9, -1).astype(int)
+    rows = []
+    for y in range(9):  # every filter of the format, by its definition
+        kind, line = y % 5, []
+        for i in range(21):
+            left, up, corner = (flat[y][i - 3] if i > 2 else 0), (flat[y - 1][i] if y else 0), (flat[y - 1][i - 3] if y and i > 2 else 0)
+            p = left + up - corner
+            near = sorted((abs(p - v), k, v) for k, v in enumerate((left, up, corner)))[0][2]
+            line.append((flat[y][i] - (0, left, up, (left + up) // 2, near)[kind]) % 256)
+        rows.append(bytes([kind, *line]))
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    filtered = images.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 9, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(rows))) + chunk(b"IEND", b"")
+    assert (images.decoded(filtered) == a).all()
+    assert images.decoded(b"no image") is None and images.decoded(None) is None
+    pages_ = spark.createDataFrame([("c", "p1", images.png(a)), ("c", "p2", b"x")], "comic_id string, page_id string, content binary")
+    got = {x["page_id"]: x for x in images.rasters(pages_).collect()}
+    assert (got["p1"]["height"], got["p1"]["width"], got["p2"]["gray"]) == (9, 7, None) and bytes(got["p1"]["gray"]) == images.gray(a).tobytes()
+    boxes = spark.createDataFrame([("c", "p1", "k", -1, 2, 4, 3), ("c", "p1", "gone", 50, 50, 4, 4)], "comic_id string, page_id string, name string, x int, y int, w int, h int")
+    cut = images.crops(pages_, boxes).collect()
+    assert [x["name"] for x in cut] == ["k"] and (images.decoded(bytes(cut[0]["png"])) == a[2:5, 0:3]).all()
+
+
+def test_readings_must_match_the_text_boxes(spark):
+    for extra in ([("c", "p1", 7, "a", "b", 0.5)], None):
+        given = inputs(spark)
+        read = given["readings"]
+        given["readings"] = read.unionByName(spark.createDataFrame(extra, read.schema)) if extra else read.where("not (page_id = 'p2' and idx = 1)")
+        with pytest.raises(Exception, match="readings and text boxes differ on page p"):
+            P.Pipeline(P.Settings.parsed(CONFIG), inputs=given).run(pages(spark), last="vlm_extraction")["vlm_extraction"].collect()
+
+
+def test_weak_pairs_of_text_and_tail_go(spark):
+    given = inputs(spark)
+    given["tail_pairs"] = given["tail_pairs"].withColumn("score", F.when(F.col("page_id") == "p1", 0.3).otherwise(0.29))
+    out = P.Pipeline(P.Settings.parsed(CONFIG), inputs=given).run(pages(spark), last="bubble_detection")["bubble_detection"]
+    assert {r["page_id"]: r["panels"][0]["bubbles"][0]["type"] for r in out.collect()} == {"p1": "speech", "p2": "narration"}
+
+
+def test_strict_answers_and_json_artifacts(spark, tmp_path):
+    from laminar.functions import text as X
+
+    good = json.dumps({"action_description": " runs ", "setting": "s", "mood": "m", "onomatopoeia": ["BAM", " "]})
+    one = lambda t: spark.createDataFrame([(t,)], "t string").select(X.strict_answer(F.col("t")).alias("a")).first()["a"]
+    assert (one(good)["action_description"], one(good)["onomatopoeia"]) == ("runs", ["BAM"])
+    for bad in ("so: " + good, good.replace('"s"', "1"), "{}", None):
+        with pytest.raises(Exception, match="no such answer"):
+            one(bad)
+    table = spark.createDataFrame([("c", "p", "h1", [1, 2])], "comic_id string, page_id string, input_hash string, n array<int>")
+    io.write_hashed_artifacts(table, str(tmp_path / "a"), "tts")
+    io.write_hashed_artifacts(table.withColumn("input_hash", F.lit("h2")), str(tmp_path / "a"), "tts")
+    io.write_hashed_artifacts(table, str(tmp_path / "a"), "other")
+    back = io.read_hashed_artifacts(spark, str(tmp_path / "a"), "tts", "n array<int>").collect()
+    assert sorted((r["input_hash"], tuple(r["n"])) for r in back) == [("h1", (1, 2)), ("h2", (1, 2))]
+    from laminar.plans import models
+
+    assert models.page_counts(table).first().asDict() == {"page_id": "p", "n": 2}
