@@ -1,6 +1,7 @@
 """Plain-Python versions of the operators' contracts, for small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -27,6 +28,80 @@ def quality_base(text):
     return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit), failed
 
 
+def spark_hash(value, seed=42):
+    """Spark's xxhash64 of one string or long; several columns chain by the seed."""
+    raw = value.encode() if isinstance(value, str) else value.to_bytes(8, "little")
+    return xxhash.xxh64_intdigest(raw, seed)
+
+
+def quality_verdicts(rows, good, buckets, prior, threshold, slack):
+    """rows: [(doc_id, text)] -> per row (llr, kept), from counts over all rows and over those of `good` ids."""
+    grams = []
+    for _, text in rows:
+        one = [spark_hash(w) for w in WORD.findall(text or "")]
+        two = [spark_hash(b, spark_hash(a)) for a, b in zip(one, one[1:], strict=False)]
+        grams.append([h % buckets for h in one + two])
+    raw = Counter(b for g in grams for b in g)
+    target = Counter(b for (i, _), g in zip(rows, grams, strict=True) if i in good for b in g)
+    share = target.total() / max(1, raw.total())
+    out = []
+    for (_, text), g in zip(rows, grams, strict=True):
+        n = max(1, len(g))
+        llr = sum(math.log((target[b] + prior) / (raw[b] * share + prior)) for b in g) / n if share else 0.0
+        out.append((llr, not quality_base(text)[-1] and llr + slack / math.sqrt(n) >= threshold))
+    return out
+
+
+def toxic_features(folded, weights, exceptions):
+    """The four features of a folded text, word by word, from every entry tried at every word."""
+    spans = [(i, i + len(e)) for e in exceptions for i in range(len(folded)) if folded.startswith(e, i)]
+    total, top, n = 0.0, 0.0, len(folded.split())
+    for at in (i for i in range(len(folded) - 1) if folded[i] == " " and folded[i + 1] != " "):
+        met = [w for p, w in weights.items() if folded.startswith(p, at) and not any(a <= at and at + len(p) <= b for a, b in spans)]
+        total, top = total + max(met, default=0.0), max([top, *met])
+    n = max(1, n)
+    return math.log1p(total), math.log1p(100 * total / n), top, total / math.sqrt(n)
+
+
+def toxic_lexicon(toxic, clean, shortest, longest, pure, varied, sure, nearly):
+    """Entries and weights from folded distinct texts of either kind, by plain counting and the exact binomial tail."""
+
+    def patterns(t):
+        return {f" {w} " for w in t.split()} | {f" {w[:k]}" for w in t.split() for k in range(shortest, min(longest, len(w)) + 1)}
+
+    a, b = (Counter(p for t in side for p in patterns(t)) for side in (toxic, clean))
+    tried = {p for p in a | b if a[p] + b[p] >= 3}
+    share = len(toxic) / (len(toxic) + len(clean))
+
+    def tail(p):
+        n = a[p] + b[p]
+        return sum(math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(a[p], n + 1))
+
+    def odds(p):
+        return math.log((a[p] + 0.5) / (len(toxic) + 1) * (len(clean) + 1) / (b[p] + 0.5))
+
+    def contexts(p):
+        found = set()
+        for t in toxic:
+            words = t.split()
+            for i, w in enumerate(words):
+                if p in (f" {w} ", f" {w[: len(p) - 1]}"):
+                    after = (words[i + 1] if i + 1 < len(words) else "") if p.endswith(" ") else w[len(p) - 1 :]
+                    found.add((words[i - 1] if i else "", after))
+                    break
+        return len(found)
+
+    sound = [p for p in tried if a[p] >= 3 and odds(p) >= pure and tail(p) * len(tried) < sure]
+    lexicon = {}
+    for p in sorted(sound, key=lambda p: (-a[p], -len(p), p)):
+        longer = max((a[q] for q in sound if q != p and q.startswith(p)), default=0)
+        heads = [lexicon[q] for q in lexicon if p.startswith(q)]
+        weight = min(8.0, odds(p))
+        if contexts(p) >= varied * a[p] and longer < 0.9 * a[p] and all(weight > h + nearly for h in heads):
+            lexicon[p] = weight
+    return lexicon
+
+
 ITEM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 

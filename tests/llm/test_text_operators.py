@@ -71,6 +71,22 @@ def test_quality_rejects_what_the_target_never_has(spark):
     assert rows.columns == ["doc_id", "text", "llr"] and {r["doc_id"] for r in rows.collect()} == {i for i, r in out.items() if r["kept"]}
 
 
+def test_quality_verdict_matches_plain_version(spark):
+    sf = "/root/testdata/sf0.001"
+    marks = common.table(spark, sf, "labels").select("doc_id", "quality")
+    good = {r["doc_id"] for r in marks.where("quality = 1").collect()}
+    odd = [(-1, None), (-2, ""), (-3, " ".join(f"%%{w}%%" for w in words(400, 3))), (-4, " ".join(words(50_000, 4))), (-5, "zq " * 30)]
+    rows = [(r["doc_id"], r["text"]) for r in common.table(spark, sf, "documents").collect()] + odd + odd[2:3]
+    d = spark.createDataFrame([(*r, 1.5, "x") for r in rows], "doc_id long, text string, llr double, ratios string").repartition(5)
+    got = sorted(((r["doc_id"], r["llr"], r["kept"]) for r in quality_rules.judge(d, marks).collect()), key=lambda r: r[0])
+    plain = brute.quality_verdicts(rows, good, quality_rules.BUCKETS, quality_rules.PRIOR, quality_rules.THRESHOLD, quality_rules.SLACK)
+    want = sorted(((i, *v) for (i, _), v in zip(rows, plain, strict=True)), key=lambda r: r[0])
+    assert [(i, k) for i, _, k in got] == [(i, k) for i, _, k in want]
+    assert all(abs(x - y) < 1e-4 for (_, x, _), (_, y, _) in zip(got, want, strict=True))
+    by_ratio = [k for (i, text), (_, k) in zip(rows, plain, strict=True) if not brute.quality_base(text)[-1]]
+    assert True in by_ratio and False in by_ratio
+
+
 # ---- decontamination
 
 
@@ -387,6 +403,23 @@ def test_toxicity_counts_copies_of_a_text_once(spark):
     assert sorted(r["toxic"] for r in toxicity.training(d, texts, 50).collect()) == [0] * 50 + [1] * 50
 
 
+def test_toxicity_matches_plain_version(spark):
+    d, marks = toxic_sample(spark)
+    texts = {r["doc_id"]: r["text"] for r in d.collect()}
+    learned = [i for i in texts if brute.crc_text(i) % 3 != 1]
+    sides = [sorted({toxicity.fold(texts[i]) for i in learned if (i % 3 == 0) == bad}) for bad in (True, False)]
+    lexicon = toxicity.fit(d, marks, ["blargh zonkers", "foozle"])
+    want = brute.toxic_lexicon(*sides, *toxicity.PREFIX, toxicity.PURE, toxicity.VARIED, toxicity.SURE, toxicity.NEARLY)
+    assert lexicon.weights.keys() == want.keys() and len(want) >= 3
+    assert all(abs(lexicon.weights[p] - w) < 1e-9 for p, w in want.items())
+    odd = [None, "", "blargh", "a blargh zonkers b zonkers", "BL\u200bargh, f o o z l e zonkersblargh", "blarghs foozles", "blargh filler " * 20_000]
+    rows = [(i, t) for i, t in texts.items()] + [(-k, t) for k, t in enumerate(odd, 1)] + [(-2, "")]
+    out = toxicity.scored(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string"), lexicon, ["doc_id"])
+    got = sorted((r["doc_id"], r["score"]) for r in out.collect())
+    plain = sorted((i, lexicon.score(brute.toxic_features(toxicity.fold(t), lexicon.weights, lexicon.exceptions))) for i, t in rows)
+    assert [i for i, _ in got] == [i for i, _ in plain] and all(abs(x - y) < 1e-9 for (_, x), (_, y) in zip(got, plain, strict=True))
+
+
 def test_toxicity_without_labels(spark, docs, none):
     lexicon = toxicity.fit(docs, labels(spark, []))
     assert {r["score"] for r in toxicity.scored(docs, lexicon, ["doc_id"]).collect()} == {0.0}
