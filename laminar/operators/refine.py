@@ -1,7 +1,7 @@
 """Refinement of clusters by a pairwise verdict: split at the weakest link, merge at the strongest.
 
-The searches over pairs never make a row for a pair: members are gathered in blocks of BLOCK vectors, blocks of a comic meet, and a meeting gives one row,
-its extreme pair. Verdicts are asked only for gated extremes. What depends on order, the ids of new clusters and the greedy merges, runs over cluster pairs, not over members.
+The searches over pairs never make a row for a pair of members: they are gathered in blocks of BLOCK vectors, blocks meet, and a meeting gives the extreme pair of each
+pair of clusters in it, if the gate lets it pass. Verdicts are asked only for gated extremes. What depends on order, the ids of new clusters and the greedy merges, runs over cluster pairs, not over members.
 """
 
 from __future__ import annotations
@@ -20,50 +20,76 @@ BLOCK = 512
 SPLIT_MAX, MERGE_MIN = 0.6, 0.5
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """members(comic, cluster, pos, v) -> comic, cluster, b, block: array of (pos, v), at most BLOCK."""
-    rows = members.select("comic", "cluster", "pos", V.doubles(F.col("v")).alias("v"), F.expr(f"cast(pos div {BLOCK} as int)").alias("b"))
-    return rows.groupBy("comic", "cluster", "b").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("block"))
+def _packed(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows(by, cluster, pos, v) -> by, at: array of (cluster, pos), flat: their vectors one after the other."""
+    held = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("cluster", "pos", "v"))).alias("_all"))
+    return held.select(*by, F.transform("_all", lambda x: x["cluster"]).alias("of"), F.transform("_all", lambda x: x["pos"]).alias("pos"), F.flatten(F.transform("_all", lambda x: x["v"])).alias("flat"))
 
 
-def _extremes(pairs: DataFrame, weakest: bool) -> DataFrame:
-    """pairs(comic, a, b, left, right: blocks) -> comic, a, b, sim, i, j: one row a pair of blocks."""
-    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("comic", "a", "b"))
+def _meetings(rows: DataFrame, keys: list[str], weakest: bool, gate: float | None) -> DataFrame:
+    """rows(keys, cluster, pos, v) -> keys, a, b, sim, i, j, maybe several rows for a pair of clusters.
+
+    Rows are dealt to blocks by hash; each two blocks of a key have a key of their own, at which both arrive, so that no comic and no cluster is one task's work.
+    """
+    counts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("_n"))
+    dealt = rows.join(counts, keys).withColumn("_b", F.pmod(F.xxhash64("cluster", "pos"), F.col("_n")))
+    blocks = _packed(dealt, [*keys, "_n", "_b"])
+    each = blocks.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
+    each = each.select(*keys, F.least("_b", "_c").alias("_lo"), F.greatest("_b", "_c").alias("_hi"), F.struct("_b", "of", "pos", "flat").alias("block"))
+    met = each.groupBy(*keys, "_lo", "_hi").agg(F.sort_array(F.collect_list("block")).alias("blocks")).drop("_lo", "_hi")
+    sides = met.select(*keys, F.get("blocks", F.lit(0)).alias("l"), F.get("blocks", F.size("blocks") - 1).alias("r"))
+    flat = sides.select(*keys, *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "lr" for c in ("of", "pos", "flat")])
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
+    cluster = rows.schema["cluster"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                pi, pj = np.array([x["pos"] for x in r.left]), np.array([x["pos"] for x in r.right])
-                s = V.unit_rows(np.array([x["v"] for x in r.left])) @ V.unit_rows(np.array([x["v"] for x in r.right])).T
-                if weakest:
-                    s = np.where(pi[:, None] < pj[None, :], s, np.inf)
-                at = int(np.argmin(s) if weakest else np.argmax(s))
-                i, j = divmod(at, len(pj))
-                if np.isfinite(s[i, j]):
-                    out.append((r.comic, r.a, r.b, float(s[i, j]), int(pi[i]), int(pj[j])))
-            yield pd.DataFrame(out, columns=["comic", "a", "b", "sim", "i", "j"])
-
-    return pairs.select("comic", "a", "b", "left", "right").mapInPandas(run, f"{kinds}, sim double, i bigint, j bigint")
-
-
-def weakest_pairs(members: DataFrame) -> DataFrame:
-    """comic, cluster, sim, i, j: the least similar pair of members, the first of equals; no row for clusters of one."""
-    blocks = _blocks(members)
-    l, r = blocks.alias("l"), blocks.alias("r")
-    met = l.join(r, (F.col("l.comic") == F.col("r.comic")) & (F.col("l.cluster") == F.col("r.cluster")) & (F.col("l.b") <= F.col("r.b")))
-    pairs = met.select(F.col("l.comic").alias("comic"), F.col("l.cluster").alias("a"), F.col("l.cluster").alias("b"), F.col("l.block").alias("left"), F.col("r.block").alias("right"))
-    best = _extremes(pairs, True).groupBy("comic", F.col("a").alias("cluster")).agg(F.min(F.struct("sim", "i", "j")).alias("m"))
+            for *key, lo, lp, lv, ro, rp, rv in pdf.itertuples(index=False, name=None):
+                out = _extremes(*map(np.asarray, (lo, lp, lv, ro, rp, rv)), weakest, gate)
+                for n, (c, k) in enumerate(zip(keys, key, strict=True)):
+                    out.insert(n, c, k)
+                yield out
+
+    return flat.mapInPandas(run, f"{kinds}, a {cluster}, b {cluster}, sim double, i bigint, j bigint")
+
+
+def _extremes(lo: np.ndarray, lp: np.ndarray, lv: np.ndarray, ro: np.ndarray, rp: np.ndarray, rv: np.ndarray, weakest: bool, gate: float | None) -> pd.DataFrame:
+    """Clusters, positions and vectors of two blocks, ordered by cluster -> a, b, sim, i, j: of each pair of clusters (weakest: of each cluster), the first extreme pair that passes the gate.
+
+    Similarities count as equal where they agree in 12 decimals.
+    """
+    s = np.round(V.unit_rows(lv.reshape(len(lo), -1)) @ V.unit_rows(rv.reshape(len(ro), -1)).T, 12)
+    if weakest:
+        s = -s
+    wanted = (lo[:, None] == ro[None, :]) & (lp[:, None] != rp[None, :]) if weakest else lo[:, None] != ro[None, :]
+    s = np.where(wanted, s, -np.inf)
+    starts = [np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) for x in (lo, ro)]
+    most = np.maximum.reduceat(np.maximum.reduceat(s, starts[0], axis=0), starts[1], axis=1)
+    spread = np.repeat(np.repeat(most, np.diff(np.r_[starts[0], len(lo)]), axis=0), np.diff(np.r_[starts[1], len(ro)]), axis=1)
+    floor = -np.inf if gate is None else (-gate if weakest else gate)
+    x, y = np.nonzero((s == spread) & np.isfinite(s) & (s >= floor))
+    swap = (lo[x] > ro[y]) | ((lo[x] == ro[y]) & (lp[x] > rp[y]))
+    side = lambda l, r: np.where(swap, r[y], l[x])
+    out = pd.DataFrame({"a": side(lo, ro), "b": np.where(swap, lo[x], ro[y]), "sim": s[x, y], "i": side(lp, rp), "j": np.where(swap, lp[x], rp[y])})
+    # a pair of clusters can be met from both sides
+    out = out.sort_values(["a", "b", "sim", "i", "j"], ascending=[True, True, False, True, True]).drop_duplicates(["a", "b"])
+    return out.assign(sim=-out["sim"]) if weakest else out
+
+
+def _members(members: DataFrame) -> DataFrame:
+    return members.select("comic", "cluster", "pos", V.doubles(F.col("v")).alias("v"))
+
+
+def weakest_pairs(members: DataFrame, at_most: float | None = None) -> DataFrame:
+    """comic, cluster, sim, i, j: the least similar pair of members, the first of equals; no row for clusters of one, nor where that pair is more similar than `at_most`."""
+    rows = _members(members).withColumn("_own", F.col("cluster"))
+    best = _meetings(rows, ["comic", "_own"], True, at_most).groupBy("comic", F.col("a").alias("cluster")).agg(F.min(F.struct("sim", "i", "j")).alias("m"))
     return best.select("comic", "cluster", "m.sim", "m.i", "m.j")
 
 
-def strongest_pairs(members: DataFrame) -> DataFrame:
-    """comic, a, b (a < b), sim, i, j: the most similar pair of members of two clusters, the first of equals."""
-    blocks = _blocks(members)
-    l, r = blocks.alias("l"), blocks.alias("r")
-    met = l.join(r, (F.col("l.comic") == F.col("r.comic")) & (F.col("l.cluster") < F.col("r.cluster")))
-    pairs = met.select(F.col("l.comic").alias("comic"), F.col("l.cluster").alias("a"), F.col("r.cluster").alias("b"), F.col("l.block").alias("left"), F.col("r.block").alias("right"))
-    best = _extremes(pairs, False).groupBy("comic", "a", "b").agg(F.min(F.struct((-F.col("sim")).alias("s"), "i", "j")).alias("m"))
+def strongest_pairs(members: DataFrame, at_least: float | None = None) -> DataFrame:
+    """comic, a, b (a < b), sim, i, j: the most similar pair of members of two clusters, the first of equals; no row where it is less similar than `at_least`."""
+    best = _meetings(_members(members), ["comic"], False, at_least).groupBy("comic", "a", "b").agg(F.min(F.struct((-F.col("sim")).alias("s"), "i", "j")).alias("m"))
     return best.select("comic", "a", "b", (-F.col("m.s")).alias("sim"), "m.i", "m.j")
 
 
@@ -98,7 +124,7 @@ def refine(members: DataFrame, verdict: Verdict, split_max: float = SPLIT_MAX, m
     Members of a merged cluster follow those of the one that takes them. log: comic, seq, type, cluster, other, sim, same, size_a, size_b.
     """
     members = members.select("comic", "cluster", F.col("pos").cast("bigint").alias("pos"), V.doubles(F.col("v")).alias("v"), "crop")
-    weak = weakest_pairs(members).where(F.col("sim") <= F.lit(split_max)).withColumnsRenamed({"cluster": "a"}).withColumn("b", F.col("a"))
+    weak = weakest_pairs(members, split_max).withColumnsRenamed({"cluster": "a"}).withColumn("b", F.col("a"))
     checks = _asked(weak, members, "a", "b", verdict).persist()
     top = members.groupBy("comic").agg(F.max("cluster").alias("top"))
     nth = F.row_number().over(Window.partitionBy("comic").orderBy("a"))
@@ -112,7 +138,7 @@ def refine(members: DataFrame, verdict: Verdict, split_max: float = SPLIT_MAX, m
     after = after.withColumn("pos", renumber.cast("bigint")).persist()
     sizes = after.where("_from is not null").groupBy("comic", F.col("_from").alias("cluster")).agg(
         F.count_if(F.col("cluster") == F.col("_from")).alias("size_a"), F.count_if(F.col("cluster") != F.col("_from")).alias("size_b"))
-    strong = strongest_pairs(after).where(F.col("sim") >= F.lit(merge_min))
+    strong = strongest_pairs(after, merge_min)
     judged = _asked(strong, after, "a", "b", verdict).select("comic", "a", "b", "sim", "same")
     kind = members.schema["comic"].dataType.simpleString()
     merges = judged.groupBy("comic").applyInPandas(_greedy, f"comic {kind}, a int, b int, sim double, same boolean").persist()

@@ -602,12 +602,12 @@ def strongest_pair(spark, sf_dir):
 
 @query("split_candidates", PAIRS + " SELECT comic, cluster, i, j FROM weak WHERE sim <= -0.3::DOUBLE")
 def split_candidates(spark, sf_dir):
-    return refine.weakest_pairs(members(spark, sf_dir)).where(F.col("sim") <= -0.3).select("comic", "cluster", "i", "j")
+    return refine.weakest_pairs(members(spark, sf_dir), -0.3).select("comic", "cluster", "i", "j")
 
 
 @query("merge_candidates", PAIRS + " SELECT comic, a, b, i, j FROM strong WHERE sim >= 0.4::DOUBLE")
 def merge_candidates(spark, sf_dir):
-    return refine.strongest_pairs(members(spark, sf_dir)).where(F.col("sim") >= 0.4).select("comic", "a", "b", "i", "j")
+    return refine.strongest_pairs(members(spark, sf_dir), 0.4).select("comic", "a", "b", "i", "j")
 
 
 def fake_verdict(pairs: DataFrame) -> DataFrame:

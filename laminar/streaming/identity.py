@@ -25,17 +25,16 @@ def assign_stream(vectors: DataFrame, group: str, order: str, threshold: float =
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         store = Store()
         if state.exists:
-            dim, units, of, sums, store.next = state.get
-            store.units, store.of = np.frombuffer(units).reshape(-1, dim), np.frombuffer(of, np.int64)
-            store.sums = np.frombuffer(sums).reshape(-1, dim).copy()
+            dim, units, of, sums = state.get
+            store = Store(np.frombuffer(units).reshape(-1, dim), np.frombuffer(of, np.int64), np.frombuffer(sums).reshape(-1, dim).copy())
         rows = []
         pdf = pd.concat(list(batches)).sort_values(order)
         for o, v in zip(pdf[order], pdf["v"], strict=True):
             rows.append((key[0], o, *store.assign(v, threshold, mode)))
-        state.update((store.units.shape[1], store.units.tobytes(), store.of.tobytes(), store.sums.tobytes(), store.next))
+        state.update((store.units.shape[1], store.units.tobytes(), store.of.tobytes(), store.sums.tobytes()))
         yield pd.DataFrame(rows, columns=[group, order, "cluster", "similarity", "is_new"])
 
     rows = vectors.select(group, F.col(order).cast("bigint").alias(order), V.doubles(F.col("v")).alias("v"))
     return rows.groupBy(group).applyInPandasWithState(
-        fold, f"`{group}` {kind}, `{order}` bigint, cluster int, similarity double, is_new boolean", "dim int, units binary, of binary, sums binary, next int", "append", GroupStateTimeout.NoTimeout
+        fold, f"`{group}` {kind}, `{order}` bigint, cluster int, similarity double, is_new boolean", "dim int, units binary, of binary, sums binary", "append", GroupStateTimeout.NoTimeout
     )

@@ -262,6 +262,36 @@ def test_extreme_pairs_over_blocks(spark, monkeypatch):
     assert {x["cluster"]: (round(x["sim"], 9), x["i"], x["j"]) for x in refine.weakest_pairs(m).collect()} == want
     best = {(a, b): max((round(cos(x, y), 9), -i, -j) for i, x in enumerate(vs[a]) for j, y in enumerate(vs[b])) for a in range(3) for b in range(a + 1, 3)}
     assert {(x["a"], x["b"]): (round(x["sim"], 9), -x["i"], -x["j"]) for x in refine.strongest_pairs(m).collect()} == best
+    gate = sorted(v[0] for v in best.values())[1]
+    assert {(x["a"], x["b"]) for x in refine.strongest_pairs(m, gate - 1e-6).collect()} == {k for k, v in best.items() if v[0] >= gate}
+    gate = sorted(v[0] for v in want.values())[0]
+    assert {x["cluster"] for x in refine.weakest_pairs(m, gate + 1e-6).collect()} == {k for k, v in want.items() if v[0] <= gate}
+
+
+def test_equal_vectors_in_many_blocks_give_the_first_pair(spark, monkeypatch):
+    monkeypatch.setattr(refine, "BLOCK", 4)
+    m = members(spark, [[A] * 30, [A] * 30, [B]])
+    assert {(x["cluster"], x["i"], x["j"]) for x in refine.weakest_pairs(m).collect()} == {(0, 0, 1), (1, 0, 1)}
+    assert {(x["a"], x["b"], x["i"], x["j"]) for x in refine.strongest_pairs(m, 0.9).collect()} == {(0, 1, 0, 0)}
+    assert refine.strongest_pairs(m.limit(0)).count() == refine.weakest_pairs(m.limit(0)).count() == 0
+
+
+def test_best_match_in_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    vs, cs = r.normal(size=(90, 5)), r.normal(size=(23, 5))
+    cs[7] = cs[3]
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    s = (unit(vs) @ unit(cs).T).round(12)
+    rows = [("x", i, v.tolist()) for i, v in enumerate(vs)] + [("x", 0, vs[0].tolist()), ("none", 5, vs[0].tolist()), ("x", 100, [0.0] * 5)]
+    targets = spark.createDataFrame([("x", k, c.tolist()) for k, c in enumerate(cs)], "g string, cluster int, centroid array<double>")
+    d = spark.createDataFrame(rows, "g string, id int, v array<double>").repartition(3)
+    for block in (4, 2_000):
+        got = {(x["g"], x["id"]): (x["best"], round(x["similarity"], 9)) for x in identity.best_match(d, targets, ["g"], block=block).collect()}
+        want = {("x", i): (int(s[i].argmax()), round(float(s[i].max()), 9)) for i in range(90)} | {("none", 5): (None, 0.0), ("x", 100): (0, 0.0)}
+        assert got == want
+    assert identity.best_match(d.limit(0), targets, ["g"]).count() == 0
 
 
 # ---- text
