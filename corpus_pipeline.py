@@ -6,7 +6,9 @@ near duplicates     one document of each SimHash component stays
 decontamination     documents with passages of two benchmark items or more go; of one item, its words are cut out of the text
 tokens              each text that is left, as byte-level BPE
 
-All but the last return the columns of documents. Null texts: not toxic, then rejected by the quality rules.
+All but the last return the columns of documents, and others that `docs` may have, whatever their names. Null and empty texts: not toxic, then rejected by the quality rules.
+Repeated rows share their fate until the near duplicates, of which one stays; very long texts are handled whole; an empty table stays empty; without labels nothing is toxic and the base
+rules alone decide; without benchmark items nothing is cut.
 """
 
 from __future__ import annotations

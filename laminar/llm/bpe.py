@@ -7,7 +7,7 @@ steps back and marks the position as dead, so every position is given up at most
 The pair-compatibility table is filled as pairs occur and is bounded, as is the table of pieces seen before.
 
 Defined results: null text is the empty text, which has no tokens; a special token's string inside a text is that token; repeated rows
-and extra columns have no influence; an empty table gives no rows.
+and extra columns have no influence; very long texts are encoded piece by piece, and a piece without a gap is as exact at any length; an empty table gives no rows.
 """
 
 from __future__ import annotations

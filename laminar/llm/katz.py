@@ -19,7 +19,7 @@ sorted and packed (5 to 6 bytes a key), so that words that fill a third of a cor
 All exchanged tables are written to the shared folder; a lost executor repeats a step at most. Counts of counts alone reach the driver.
 
 Defined results: null and blank texts are one end token; repeated rows count and are scored each; without training texts every word is unknown (score and base are 0 for
-n tokens of probability one); an empty table gives no rows; extra columns are ignored.
+n tokens of probability one); an empty table gives no rows; extra columns are ignored; very long texts are one row of a block, which may be larger than BLOCK_TOKENS by them.
 """
 
 from __future__ import annotations

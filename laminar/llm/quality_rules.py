@@ -11,7 +11,8 @@ with the ratios, a written table of one row of BUCKETS numbers, as a scalar subq
 Base rules, whatever the ratio: under 20 words, or over 30 % of the words in repeated windows of 8 words, fail.
 
 Defined results: null text has no words and fails; ties of the smallest hash fall to the smaller doc_id; without trusted
-documents, the ratio is 0 everywhere, so the base rules alone decide; an empty table gives no rows; repeated rows are counted and judged each.
+documents, the ratio is 0 everywhere, so the base rules alone decide; an empty table gives no rows; repeated rows are counted and judged each;
+very long texts are read whole, their arrays of hashes take 8 bytes a word; columns other than doc_id and text are ignored or, by kept_rows(), handed on, whatever their names.
 """
 
 from __future__ import annotations

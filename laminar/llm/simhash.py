@@ -6,7 +6,8 @@ whatever the data; sorted, each member is tied to the one before, which keeps al
 each tie is verified by its differing bits.
 
 Defined results: null text and text without words have fingerprint 0, linked like any other; null doc_ids get the component
-of their fingerprint and are never its smallest, which is null only if no row has an id; repeated rows are kept; an empty table gives no rows.
+of their fingerprint and are never its smallest, which is null only if no row has an id; repeated rows are kept; very long texts are read whole,
+8 bytes a shingle in the task that holds them; an empty table gives no rows; columns other than doc_id and text are ignored or, by keep_one(), handed on, whatever their names.
 """
 
 from __future__ import annotations

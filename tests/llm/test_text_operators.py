@@ -615,5 +615,18 @@ def test_katz_of_nothing(spark, none):
     assert katz.score(none).count() == 0
 
 
-def test_shared_folder_is_read_from_the_session(spark):
-    assert common.shared_dir(spark)
+def test_shared_folder_is_read_from_the_session(spark, tmp_path):
+    key, before = "spark.checkpoint.dir", common.shared_dir(spark)
+    if spark.sparkContext.getConf().get(key, None):
+        assert before == spark.sparkContext.getConf().get(key).rstrip("/")
+        return
+    spark.conf.set(key, f"{tmp_path}/shared/")
+    try:
+        assert common.shared_dir(spark) == f"{tmp_path}/shared"
+        t = common.written(spark.range(3), "test-table")
+        assert t._written_at.startswith(f"{tmp_path}/shared/test-table-") and t.count() == 3
+        common.dropped(t)
+        assert not list((tmp_path / "shared").glob("test-table-*"))
+    finally:
+        spark.conf.unset(key)
+    assert common.shared_dir(spark) == before
