@@ -5,7 +5,8 @@ path; of all fitting rules the longest expression wins (then the longer host, th
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and gets the default
 verdict; an empty page table gives no rows; repeated rows each get their own row; extra columns of `pages` are not
-looked at; long urls give an expression for each label of the host and each directory of the path. With an empty rule table every page gets the default verdict.
+looked at; a url gives an expression for each label of its host and each
+length that rule paths have, however long it is. With an empty rule table every page gets the default verdict.
 """
 
 from __future__ import annotations
