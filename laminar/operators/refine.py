@@ -1,6 +1,6 @@
 """Refinement of clusters by a pairwise verdict: split at the weakest link, merge at the strongest.
 
-The searches over pairs never make a row for a pair of members: they are gathered in blocks of BLOCK vectors, blocks meet, and a meeting gives the extreme pair of each
+The searches over pairs never make a row for a pair of members: they are gathered in blocks, blocks meet, and a meeting gives the extreme pair of each
 pair of clusters in it, if the gate lets it pass. Verdicts are asked only for gated extremes. What depends on order, the ids of new clusters and the greedy merges, runs over cluster pairs, not over members.
 """
 
@@ -16,7 +16,10 @@ from pyspark.sql.window import Window
 
 from laminar.functions import vectors as V
 
-BLOCK = 512
+#: A key's vectors are dealt to a block for each BLOCK of them, up to SPREAD blocks, so that copies grow as the input does; more only where blocks would be larger than BLOCK_BYTES, which bounds a task.
+BLOCK, SPREAD, BLOCK_BYTES = 512, 12, 32 << 20
+#: Vectors of either side in one matrix product, and pairs of clusters whose best so far a meeting remembers.
+TILE, KNOWN = 1_024, 1 << 20
 SPLIT_MAX, MERGE_MIN = 0.6, 0.5
 
 
@@ -29,51 +32,106 @@ def _packed(rows: DataFrame, by: list[str]) -> DataFrame:
 def _meetings(rows: DataFrame, keys: list[str], weakest: bool, gate: float | None) -> DataFrame:
     """rows(keys, cluster, pos, v) -> keys, a, b, sim, i, j, maybe several rows for a pair of clusters.
 
-    Rows are dealt to blocks by hash; each two blocks of a key have a key of their own, at which both arrive, so that no comic and no cluster is one task's work.
+    Rows are dealt to blocks by hash; each two blocks of a key have a key of their own, at which both arrive one after the other, so that no comic and no cluster is one task's work.
     """
-    counts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("_n"))
-    dealt = rows.join(counts, keys).withColumn("_b", F.pmod(F.xxhash64("cluster", "pos"), F.col("_n")))
-    blocks = _packed(dealt, [*keys, "_n", "_b"])
+    rows = rows.dropna(subset=keys)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_rows"), (F.sum(F.size("v").cast("bigint")) * 8).alias("_bytes"))
+    counts = counts.select(*keys, F.greatest(F.least(F.ceil(F.col("_rows") / F.lit(BLOCK)), F.lit(SPREAD).cast("bigint")), F.ceil(F.col("_bytes") / F.lit(BLOCK_BYTES))).alias("_n"))
+    # keys of more than one block are few: at most one for each BLOCK rows or BLOCK_BYTES
+    dealt = rows.join(F.broadcast(counts.where("_n > 1")), keys, "left").withColumn("_n", F.coalesce("_n", F.lit(1).cast("bigint")))
+    blocks = _packed(dealt.withColumn("_b", F.pmod(F.xxhash64("cluster", "pos"), F.col("_n"))), [*keys, "_n", "_b"])
     each = blocks.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
-    each = each.select(*keys, F.least("_b", "_c").alias("_lo"), F.greatest("_b", "_c").alias("_hi"), F.struct("_b", "of", "pos", "flat").alias("block"))
-    met = each.groupBy(*keys, "_lo", "_hi").agg(F.sort_array(F.collect_list("block")).alias("blocks")).drop("_lo", "_hi")
-    sides = met.select(*keys, F.get("blocks", F.lit(0)).alias("l"), F.get("blocks", F.size("blocks") - 1).alias("r"))
-    flat = sides.select(*keys, *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "lr" for c in ("of", "pos", "flat")])
+    each = each.select(*keys, F.least("_b", "_c").alias("_lo"), F.greatest("_b", "_c").alias("_hi"), "_b", "of", "pos", "flat")
+    met = each.repartition(*keys, "_lo", "_hi").sortWithinPartitions(*keys, "_lo", "_hi", "_b")
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
     cluster = rows.schema["cluster"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whose, first = None, None
         for pdf in batches:
-            for *key, lo, lp, lv, ro, rp, rv in pdf.itertuples(index=False, name=None):
-                out = _extremes(*map(np.asarray, (lo, lp, lv, ro, rp, rv)), weakest, gate)
-                for n, (c, k) in enumerate(zip(keys, key, strict=True)):
-                    out.insert(n, c, k)
-                yield out
+            for *key, lo, hi, at, of, pos, flat in pdf.itertuples(index=False, name=None):
+                block = _block(np.asarray(of), np.asarray(pos), np.asarray(flat))
+                if at < hi:
+                    whose, first = (key, lo, hi), block
+                elif lo == hi or whose == (key, lo, hi):  # else the other block holds no rows
+                    for out in _extremes(block if lo == hi else first, block, weakest, gate):
+                        for n, (c, k) in enumerate(zip(keys, key, strict=True)):
+                            out.insert(n, c, k)
+                        yield out
 
-    return flat.mapInPandas(run, f"{kinds}, a {cluster}, b {cluster}, sim double, i bigint, j bigint")
+    return met.mapInPandas(run, f"{kinds}, a {cluster}, b {cluster}, sim double, i bigint, j bigint")
 
 
-def _extremes(lo: np.ndarray, lp: np.ndarray, lv: np.ndarray, ro: np.ndarray, rp: np.ndarray, rv: np.ndarray, weakest: bool, gate: float | None) -> pd.DataFrame:
-    """Clusters, positions and vectors of two blocks, ordered by cluster -> a, b, sim, i, j: of each pair of clusters (weakest: of each cluster), the first extreme pair that passes the gate.
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    Similarities count as equal where they agree in 12 decimals.
+
+def _block(of: np.ndarray, pos: np.ndarray, flat: np.ndarray) -> Block:
+    """Clusters, positions and unit vectors of a block, in order of both; vectors that are no numbers are in no pair."""
+    units = V.unit_rows(flat.reshape(len(of), -1))
+    known = np.isfinite(units).all(axis=1)
+    return (of, pos, units) if known.all() else (of[known], pos[known], units[known])
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+
+
+def _extremes(left: Block, right: Block, weakest: bool, gate: float | None) -> Iterator[pd.DataFrame]:
+    """Two blocks, or one with itself -> frames of a, b, sim, i, j: of each pair of clusters (weakest: of each cluster), extreme pairs that pass the gate, the first extreme of all among them.
+
+    One product a tile. A tile's pairs are looked at only where the best of two clusters in it is no worse than what the gate and the tiles before left. Similarities count as equal where they agree in 12 decimals.
     """
-    s = np.round(V.unit_rows(lv.reshape(len(lo), -1)) @ V.unit_rows(rv.reshape(len(ro), -1)).T, 12)
-    if weakest:
-        s = -s
-    wanted = (lo[:, None] == ro[None, :]) & (lp[:, None] != rp[None, :]) if weakest else lo[:, None] != ro[None, :]
-    s = np.where(wanted, s, -np.inf)
-    starts = [np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) for x in (lo, ro)]
-    most = np.maximum.reduceat(np.maximum.reduceat(s, starts[0], axis=0), starts[1], axis=1)
-    spread = np.repeat(np.repeat(most, np.diff(np.r_[starts[0], len(lo)]), axis=0), np.diff(np.r_[starts[1], len(ro)]), axis=1)
-    floor = -np.inf if gate is None else (-gate if weakest else gate)
-    x, y = np.nonzero((s == spread) & np.isfinite(s) & (s >= floor))
-    swap = (lo[x] > ro[y]) | ((lo[x] == ro[y]) & (lp[x] > rp[y]))
-    side = lambda l, r: np.where(swap, r[y], l[x])
-    out = pd.DataFrame({"a": side(lo, ro), "b": np.where(swap, lo[x], ro[y]), "sim": s[x, y], "i": side(lp, rp), "j": np.where(swap, lp[x], rp[y])})
-    # a pair of clusters can be met from both sides
-    out = out.sort_values(["a", "b", "sim", "i", "j"], ascending=[True, True, False, True, True]).drop_duplicates(["a", "b"])
-    return out.assign(sim=-out["sim"]) if weakest else out
+    (lo, lp, lv), (ro, rp, rv) = left, right
+    sign = -1.0 if weakest else 1.0
+    floor = -np.inf if gate is None else sign * gate
+    lc, rc = np.unique(lo), np.unique(ro)
+    best = np.full((len(lc), len(rc)), floor) if len(lc) * len(rc) <= KNOWN else None
+    for x in range(0, len(lo), TILE):
+        xs = slice(x, x + TILE)
+        a, p, lines = lo[xs], lp[xs], lv[xs] * sign
+        down = _runs(a)
+        for y in range(x if left is right else 0, len(ro), TILE):
+            ys = slice(y, y + TILE)
+            b, q = ro[ys], rp[ys]
+            s = lines @ rv[ys].T
+            if weakest and left is right and p[-1] >= q[0]:
+                s[p[:, None] == q[None, :]] = -np.inf
+            across = _runs(b)
+            ends = np.r_[down, len(a)]
+            most = np.stack([s[m:n].max(axis=0) for m, n in zip(ends, ends[1:], strict=False)]) if len(down) <= 32 else np.maximum.reduceat(s, down, axis=0)
+            most = np.round(np.maximum.reduceat(most, across, axis=1), 12)
+            place = np.ix_(np.searchsorted(lc, a[down]), np.searchsorted(rc, b[across]))
+            wanted = np.isfinite(most) & (most >= (floor if best is None else best[place]))
+            wanted &= (a[down][:, None] == b[across][None, :]) if weakest else (a[down][:, None] != b[across][None, :])
+            if not wanted.any():
+                continue
+            if best is not None:
+                best[place] = np.where(wanted, most, best[place])
+            at, to = (_few if wanted.sum() <= 64 else _many)(s, np.where(wanted, most, np.inf), down, across)
+            i, j, sim = p[at], q[to], np.round(s[at, to], 12) * sign
+            a_, b_ = a[at], b[to]
+            swap = (a_ > b_) | ((a_ == b_) & (i > j))
+            out = pd.DataFrame({"a": np.where(swap, b_, a_), "b": np.where(swap, a_, b_), "sim": sim, "i": np.where(swap, j, i), "j": np.where(swap, i, j)})
+            # a pair of clusters can be met from both sides
+            yield out.sort_values(["a", "b", "sim", "i", "j"], ascending=[True, True, weakest, True, True]).drop_duplicates(["a", "b"])
+
+
+def _few(s: np.ndarray, most: np.ndarray, down: np.ndarray, across: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of s that hold the extremes asked for: of each two runs the first by row and the first by column, so the first pair from either side."""
+    at, to = [], []
+    rows, columns = np.r_[down, len(s)], np.r_[across, s.shape[1]]
+    for m, n in zip(*np.nonzero(np.isfinite(most)), strict=True):
+        hit = np.round(s[rows[m] : rows[m + 1], columns[n] : columns[n + 1]], 12) == most[m, n]
+        y, x = hit.any(axis=1).argmax(), hit.any(axis=0).argmax()
+        at += [rows[m] + y, rows[m] + hit[:, x].argmax()]
+        to += [columns[n] + hit[y].argmax(), columns[n] + x]
+    return np.array(at), np.array(to)
+
+
+def _many(s: np.ndarray, most: np.ndarray, down: np.ndarray, across: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many runs at once: all rows and columns that hold them."""
+    spread = np.repeat(np.repeat(most, np.diff(np.r_[down, len(s)]), axis=0), np.diff(np.r_[across, s.shape[1]]), axis=1)
+    return np.nonzero(np.round(s, 12) == spread)
 
 
 def _members(members: DataFrame) -> DataFrame:

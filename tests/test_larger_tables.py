@@ -1,9 +1,13 @@
-"""Cases that larger or odd tables bring: pages without panels."""
+"""Cases that larger or odd tables bring: pages without panels, and work that must be dealt to many tasks."""
 
 import datetime
 
 import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from laminar.operators import refine
 from laminar.plans import catalogue
 
 LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
@@ -30,3 +34,45 @@ def test_bubbles_of_a_page_without_panels_are_in_no_panel(spark, tmp_path):
     # page 0: a panel and two texts; page 1: texts only; page 2: a panel only
     folder = with_lines(spark, tmp_path, [(1, 3, 5), (2, 1, 6), (3, 1, 7), (11, 1, 8), (12, 4, 9), (25, 6, 2)])
     assert by_spark("bubbles_per_panel", spark, folder) == by_sql("bubbles_per_panel", folder, "lineitem") == [(0, 0, 2), (2, 0, 0)]
+
+
+def figures(spark, n, clusters, seed=1, comics=1, decimals=6):
+    r = np.random.default_rng(seed)
+    rows, seen = [], {}
+    for _ in range(n):
+        key = (int(r.integers(comics)), int(r.integers(clusters)))
+        seen[key] = seen.get(key, -1) + 1
+        rows.append((*key, seen[key], r.normal(size=8).round(decimals).tolist()))
+    return rows, spark.createDataFrame(rows, "comic int, cluster int, pos long, v array<double>").repartition(4)
+
+
+def test_meetings_of_one_comic_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(refine, "BLOCK", 20)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        met = refine._meetings(refine._members(figures(spark, 400, 2)[1]), ["comic"], False, None)
+        assert met.select(F.spark_partition_id()).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize(("clusters", "decimals", "known"), [(3, 6, 1 << 20), (3, 0, 1 << 20), (40, 6, 1 << 20), (40, 0, 0)])
+def test_extreme_pairs_over_tiles_and_comics(spark, monkeypatch, clusters, decimals, known):
+    monkeypatch.setattr(refine, "BLOCK", 20)
+    monkeypatch.setattr(refine, "TILE", 16)
+    monkeypatch.setattr(refine, "KNOWN", known)
+    rows, df = figures(spark, 240, clusters, comics=2, decimals=decimals)
+    units = [np.array(x[3]) / (np.linalg.norm(x[3]) or 1.0) for x in rows]
+    strong, weak = {}, {}
+    for x, (c, k, i, _) in enumerate(rows):
+        for y, (d, m, j, _) in enumerate(rows):
+            if c == d and (k, i) < (m, j):
+                sim = round(float(units[x] @ units[y]), 12)
+                if k == m:
+                    weak[c, k] = min(weak.get((c, k), (9,)), (sim, i, j))
+                else:
+                    strong[c, k, m] = min(strong.get((c, k, m), (9,)), (-sim, i, j))
+    assert {(r["comic"], r["cluster"]): (round(r["sim"], 9), r["i"], r["j"]) for r in refine.weakest_pairs(df).collect()} == {k: (round(s, 9), i, j) for k, (s, i, j) in weak.items()}
+    for gate in (None, 0.5):
+        want = {k: (round(-s, 9), i, j) for k, (s, i, j) in strong.items() if gate is None or -s >= gate}
+        assert {(r["comic"], r["a"], r["b"]): (round(r["sim"], 9), r["i"], r["j"]) for r in refine.strongest_pairs(df, gate).collect()} == want
