@@ -1,6 +1,6 @@
 """Who speaks a bubble: the figure its tail points at, else the nearest one in the same panel.
 
-Figures of a panel are one array; a bubble meets it by an equi-join on (page, panel). Ties: by the tail, the last figure; by distance, the first.
+Boxes of a page are gathered once, and its texts meet panels and figures as arrays of the same row. Ties: by the tail, the last figure; by distance, the first.
 """
 
 from __future__ import annotations
@@ -23,38 +23,45 @@ def tails_of(pairs: DataFrame, tails: DataFrame) -> DataFrame:
 
 
 def by_tail(figures: Column, bubble: Column, tail: Column, limit: float = MAX_ANGLE) -> Column:
-    """(angle, minus, idx) of the figure in the direction of the tail, or null."""
+    """(angle, minus, idx) of the figure (idx, at: its centre) in the direction of the tail, or null."""
     c = G.center(bubble)
-    scored = F.transform(figures, lambda f: F.struct(G.angle(tail["x"] - c["x"], tail["y"] - c["y"], G.center(f)["x"] - tail["x"], G.center(f)["y"] - tail["y"]).alias("angle"), (-f["idx"]).alias("minus"), f["idx"].alias("idx")))
+    scored = F.transform(figures, lambda f: F.struct(G.angle(tail["x"] - c["x"], tail["y"] - c["y"], f["at"]["x"] - tail["x"], f["at"]["y"] - tail["y"]).alias("angle"), (-f["idx"]).alias("minus"), f["idx"].alias("idx")))
     return F.array_min(F.filter(scored, lambda s: s["angle"] <= G.num(limit)))
 
 
 def by_distance(figures: Column, bubble: Column) -> Column:
-    """(distance, idx) of the nearest figure, or null."""
+    """(distance, idx) of the nearest figure (idx, at: its centre), or null."""
     c = G.center(bubble)
-    return F.array_min(F.transform(figures, lambda f: F.struct(G.distance(G.center(f), c).alias("distance"), f["idx"].alias("idx"))))
+    return F.array_min(F.transform(figures, lambda f: F.struct(G.distance(f["at"], c).alias("distance"), f["idx"].alias("idx"))))
 
 
 def bubble_type(tail: Column) -> Column:
     return F.when(tail.isNotNull(), "speech").otherwise("narration")
 
 
-def speakers(boxes: DataFrame, tails: DataFrame, limit: float = MAX_ANGLE) -> DataFrame:
+def speakers(boxes: DataFrame, tails: DataFrame | None = None, limit: float = MAX_ANGLE) -> DataFrame:
     """One row per text: page_id, idx, panel_idx, type, tail_idx/angle (by tail), near_idx/distance, diagonal, character_idx, confidence.
 
-    Figures compete only in the bubble's own panel; on a page without panels all figures and bubbles share a null panel.
+    Figures compete only in the bubble's own panel; on a page without panels all figures and bubbles share a null panel. Without `tails` (page_id, idx, tail), boxes have a column `tail`.
+    Panels, figures and texts of a page are three arrays of one row, so boxes are read and gathered once.
     """
-    panels = boxes.where("kind = 'panel'")
-    placed = layout.assign_to_panel(boxes.where("kind in ('text', 'character')"), panels)
-    scope = F.coalesce("panel_idx", F.lit(-1)).alias("_scope")
-    figures = layout.boxes_by(placed.where("kind = 'character'").select("*", scope), ["page_id", "_scope"], "_figures")
-    sizes = panels.select("page_id", F.col("idx").alias("_scope"), F.nullif(G.diagonal(F.col("w"), F.col("h")), G.num(0)).alias("_own"))
-    page = layout.page_extent(boxes).select("page_id", F.col("diagonal").alias("_page"))
-    texts = placed.where("kind = 'text'").select("*", scope)
-    full = texts.join(figures, ["page_id", "_scope"], "left").join(sizes, ["page_id", "_scope"], "left").join(page, "page_id", "left").join(tails, ["page_id", "idx"], "left")
+    if tails is not None:
+        boxes = boxes.drop("tail").join(tails.select("page_id", "idx", "tail", F.lit("text").alias("kind")), ["page_id", "idx", "kind"], "left")
+    # centres are made once an item, not once an item and panel
+    middle = G.center(F.struct(*layout.BOX)).alias("at")
+    of = lambda kind, *more: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("idx", *layout.BOX, *more))))
+    pages = boxes.where("page_id is not null").groupBy("page_id").agg(of("panel").alias("_panels"), of("character", middle).alias("_figures"), of("text", "tail", middle).alias("_texts"), *layout.extent())
+    panel_of = lambda b: layout.nearest_panel(F.col("_panels"), b["at"])["idx"].alias("panel_idx")
+    within = lambda items, *fields: F.transform(items, lambda b: F.struct(*[b[c].alias(c) for c in fields], panel_of(b))).alias(items)
+    sizes = F.transform("_panels", lambda p: F.struct(p["idx"].alias("idx"), G.diagonal(p["w"], p["h"]).alias("diagonal"))).alias("_sizes")
+    pages = pages.select("page_id", G.diagonal(F.col("width"), F.col("height")).alias("_page"), sizes, within("_figures", "idx", "at"), within("_texts", "idx", *layout.BOX, "tail"))
+    # only what texts need goes along with each of them; a plain explode() would have Spark place the texts a second time, to see whether there are any
+    full = pages.select("page_id", "_page", "_sizes", "_figures", F.explode_outer("_texts").alias("_t")).where("_t is not null").select("page_id", "_t.*", "_page", "_sizes", "_figures")
+    full = full.withColumn("_figures", F.filter("_figures", lambda f: f["panel_idx"].eqNullSafe(F.col("panel_idx"))))
+    own = F.get(F.filter("_sizes", lambda p: (p["idx"] == F.col("panel_idx")) & (p["diagonal"] != 0)), F.lit(0))["diagonal"]
     bubble = F.struct(*layout.BOX)
     full = full.withColumn("_tail", F.when(F.col("tail").isNotNull(), by_tail(F.col("_figures"), bubble, F.col("tail"), limit)))
-    full = full.withColumn("_near", by_distance(F.col("_figures"), bubble)).withColumn("diagonal", F.coalesce("_own", "_page"))
+    full = full.withColumn("_near", by_distance(F.col("_figures"), bubble)).withColumn("diagonal", F.coalesce(own, F.col("_page")))
     tail_conf, near_conf = G.decay(F.col("_tail.angle"), G.num(limit)), G.decay(F.col("_near.distance"), F.col("diagonal"))
     return full.select(
         "page_id", "idx", "panel_idx", *layout.BOX, bubble_type(F.col("tail")).alias("type"), "tail", "diagonal",

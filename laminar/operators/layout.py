@@ -35,12 +35,16 @@ def assign_to_panel(items: DataFrame, panels: DataFrame, keep: list[str] | None
     return found.select(*cols, F.col("_hit.idx").alias("panel_idx"), (~F.col("_hit.outside")).alias("inside"))
 
 
-def page_extent(boxes: DataFrame) -> DataFrame:
-    """page_id, width, height, diagonal of panels and texts; 1 each where there are none (a page with neither)."""
+def extent() -> list[Column]:
+    """width and height of the panels and texts of a group; 1 each where there are none."""
     use = F.col("kind").isin("panel", "text")
     right, bottom = F.max(F.when(use, F.col("x") + F.col("w"))), F.max(F.when(use, F.col("y") + F.col("h")))
-    out = boxes.groupBy("page_id").agg(F.coalesce(right, G.num(1)).alias("width"), F.coalesce(bottom, G.num(1)).alias("height"))
-    return out.withColumn("diagonal", G.diagonal(F.col("width"), F.col("height")))
+    return [F.coalesce(right, G.num(1)).alias("width"), F.coalesce(bottom, G.num(1)).alias("height")]
+
+
+def page_extent(boxes: DataFrame) -> DataFrame:
+    """page_id, width, height, diagonal of panels and texts; 1 each where there are none (a page with neither)."""
+    return boxes.groupBy("page_id").agg(*extent()).withColumn("diagonal", G.diagonal(F.col("width"), F.col("height")))
 
 
 def row_order(panels: Column, direction: str = "auto", least_overlap: float = 0.3) -> Column:

@@ -84,3 +84,13 @@ def test_pages_of_one_file_are_dealt_to_many_tasks(spark, tmp_path, name):
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert catalogue.QUERIES[name](spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() == tasks
     assert by_spark(name, spark, str(tmp_path)) == by_sql(name, str(tmp_path), "part")
+
+
+@pytest.mark.parametrize("name", ["speaker_attribution", "nearest_attribution", "tail_angle_attribution", "bubble_type_counts"])
+def test_speakers_read_and_order_the_boxes_once(spark, tmp_path, name):
+    # page 0: panels, texts and figures; page 1: no panels; page 2: texts only; page 3: no texts
+    lines = [(o, n, 7 * o + 31 * n) for o in range(6) for n in range(1, 8)] + [(11, n, 5 * n) for n in (1, 2, 4, 5)] + [(25, 1, 6), (26, 4, 8), (31, 2, 3), (31, 3, 3)]
+    folder = with_lines(spark, tmp_path, lines)
+    df = catalogue.QUERIES[name](spark, folder)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    assert by_spark(name, spark, folder) == by_sql(name, folder, "lineitem")
