@@ -1,6 +1,6 @@
 """Who speaks a bubble: the figure its tail points at, else the nearest one in the same panel.
 
-Boxes of a page are gathered once, and its texts meet panels and figures as arrays of the same row. Ties: by the tail, the last figure; by distance, the first.
+Boxes are dealt and ordered by page once, and texts meet panels and figures as numpy arrays of some pages at a time. Ties: by the tail, the last figure; by distance, the first.
 """
 
 from __future__ import annotations
@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from laminar.functions import geometry as G
+from laminar.shipping import ship
 
-from . import layout
+from . import layout, pages
 
 MAX_ANGLE = 60.0
 
@@ -29,45 +30,42 @@ def by_tail(figures: Column, bubble: Column, tail: Column, limit: float = MAX_AN
     return F.array_min(F.filter(scored, lambda s: s["angle"] <= G.num(limit)))
 
 
-def by_distance(figures: Column, bubble: Column) -> Column:
-    """(distance, idx) of the nearest figure (idx, at: its centre), or null."""
-    c = G.center(bubble)
-    return F.array_min(F.transform(figures, lambda f: F.struct(G.distance(f["at"], c).alias("distance"), f["idx"].alias("idx"))))
-
-
 def bubble_type(tail: Column) -> Column:
     return F.when(tail.isNotNull(), "speech").otherwise("narration")
 
 
+def _over_pages(boxes: DataFrame, names: list[str]) -> DataFrame:
+    """The columns named of pages.near_texts(), a row for each text. Boxes that are dealt and sorted by page are neither dealt nor sorted again."""
+    ship(boxes.sparkSession)
+    code = F.when(F.col("kind") == "panel", pages.PANEL).when(F.col("kind") == "text", pages.TEXT).when(F.col("kind") == "character", pages.FIGURE).cast("tinyint")
+    dealt = boxes.where("page_id is not null and kind in ('panel', 'text', 'character')").repartition("page_id").sortWithinPartitions("page_id")
+    sent = dealt.select("page_id", code.alias("kind"), "idx", *layout.BOX, *(["tail"] if "_figures" in names else []))
+    kinds = {f.name: f.dataType.simpleString() for f in sent.schema}
+    kinds |= {"panel_idx": kinds["idx"], "near_idx": kinds["idx"], "distance": "double", "diagonal": "double", "_figures": f"array<struct<idx:{kinds['idx']},at:struct<x:double,y:double>>>"}
+    return sent.mapInArrow(pages.near_texts(names), ", ".join(f"{c} {kinds[c]}" for c in names))
+
+
+def nearest(boxes: DataFrame) -> DataFrame:
+    """One row per text: page_id, idx, panel_idx, near_idx, distance, as speakers() has them, without what only tails need."""
+    return _over_pages(boxes, ["page_id", "idx", "panel_idx", "near_idx", "distance"])
+
+
 def speakers(boxes: DataFrame, tails: DataFrame | None = None, limit: float = MAX_ANGLE) -> DataFrame:
     """One row per text: page_id, idx, panel_idx, type, tail_idx/angle (by tail), near_idx/distance, diagonal, character_idx, confidence.
 
     Figures compete only in the bubble's own panel; on a page without panels all figures and bubbles share a null panel. Without `tails` (page_id, idx, tail), boxes have a column `tail`.
-    Panels, figures and texts of a page are three arrays of one row, so boxes are read and gathered once.
+    Boxes are read and dealt once; panels and nearest figures are found in `pages`, angles here over the figures of a text's own panel.
     """
     if tails is not None:
         boxes = boxes.drop("tail").join(tails.select("page_id", "idx", "tail", F.lit("text").alias("kind")), ["page_id", "idx", "kind"], "left")
-    # centres are made once an item, not once an item and panel
-    middle = G.center(F.struct(*layout.BOX)).alias("at")
-    of = lambda kind, *more: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.struct("idx", *layout.BOX, *more))))
-    pages = boxes.where("page_id is not null").groupBy("page_id").agg(of("panel").alias("_panels"), of("character", middle).alias("_figures"), of("text", "tail", middle).alias("_texts"), *layout.extent())
-    panel_of = lambda b: layout.nearest_panel(F.col("_panels"), b["at"])["idx"].alias("panel_idx")
-    within = lambda items, *fields: F.transform(items, lambda b: F.struct(*[b[c].alias(c) for c in fields], panel_of(b))).alias(items)
-    sizes = F.transform("_panels", lambda p: F.struct(p["idx"].alias("idx"), G.diagonal(p["w"], p["h"]).alias("diagonal"))).alias("_sizes")
-    pages = pages.select("page_id", G.diagonal(F.col("width"), F.col("height")).alias("_page"), sizes, within("_figures", "idx", "at"), within("_texts", "idx", *layout.BOX, "tail"))
-    # only what texts need goes along with each of them; a plain explode() would have Spark place the texts a second time, to see whether there are any
-    full = pages.select("page_id", "_page", "_sizes", "_figures", F.explode_outer("_texts").alias("_t")).where("_t is not null").select("page_id", "_t.*", "_page", "_sizes", "_figures")
-    full = full.withColumn("_figures", F.filter("_figures", lambda f: f["panel_idx"].eqNullSafe(F.col("panel_idx"))))
-    own = F.get(F.filter("_sizes", lambda p: (p["idx"] == F.col("panel_idx")) & (p["diagonal"] != 0)), F.lit(0))["diagonal"]
-    bubble = F.struct(*layout.BOX)
-    full = full.withColumn("_tail", F.when(F.col("tail").isNotNull(), by_tail(F.col("_figures"), bubble, F.col("tail"), limit)))
-    full = full.withColumn("_near", by_distance(F.col("_figures"), bubble)).withColumn("diagonal", F.coalesce(own, F.col("_page")))
-    tail_conf, near_conf = G.decay(F.col("_tail.angle"), G.num(limit)), G.decay(F.col("_near.distance"), F.col("diagonal"))
+    full = _over_pages(boxes, ["page_id", "idx", "panel_idx", *layout.BOX, "tail", "diagonal", "near_idx", "distance", "_figures"])
+    full = full.withColumn("_tail", F.when(F.col("tail").isNotNull(), by_tail(F.col("_figures"), F.struct(*layout.BOX), F.col("tail"), limit)))
+    tail_conf, near_conf = G.decay(F.col("_tail.angle"), G.num(limit)), G.decay(F.col("distance"), F.col("diagonal"))
     return full.select(
         "page_id", "idx", "panel_idx", *layout.BOX, bubble_type(F.col("tail")).alias("type"), "tail", "diagonal",
-        F.col("_tail.idx").alias("tail_idx"), F.col("_tail.angle").alias("angle"), F.col("_near.idx").alias("near_idx"), F.col("_near.distance").alias("distance"),
-        F.coalesce("_tail.idx", "_near.idx").alias("character_idx"),
-        F.when(F.col("_tail.idx").isNotNull(), tail_conf).when(F.col("_near.idx").isNotNull(), near_conf).otherwise(G.num(0)).alias("confidence"),
+        F.col("_tail.idx").alias("tail_idx"), F.col("_tail.angle").alias("angle"), "near_idx", "distance",
+        F.coalesce("_tail.idx", "near_idx").alias("character_idx"),
+        F.when(F.col("_tail.idx").isNotNull(), tail_conf).when(F.col("near_idx").isNotNull(), near_conf).otherwise(G.num(0)).alias("confidence"),
     )
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from laminar.operators import refine
+from laminar.operators import attribution, pages, refine
 from laminar.plans import catalogue
 
 LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
@@ -94,3 +94,58 @@ def test_speakers_read_and_order_the_boxes_once(spark, tmp_path, name):
     df = catalogue.QUERIES[name](spark, folder)
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
     assert by_spark(name, spark, folder) == by_sql(name, folder, "lineitem")
+
+
+@pytest.mark.parametrize("name", ["speaker_attribution", "nearest_attribution", "tail_angle_attribution"])
+def test_speakers_place_boxes_without_a_call_for_each_pair(spark, tmp_path, name):
+    folder = with_lines(spark, tmp_path, [(o, n, 7 * o + 31 * n) for o in range(40) for n in range(1, 8)])
+    plan = catalogue.QUERIES[name](spark, folder)._jdf.queryExecution()
+    # boxes are dealt and sorted once, with no column that boxes are not made of; panels and nearest figures are found in arrays, not by lambdas over pairs
+    assert plan.executedPlan().toString().count("Exchange ") == 1 and plan.executedPlan().toString().count("Sort [") == 1
+    assert "l_extendedprice" not in plan.executedPlan().toString() and "MapInArrow" in plan.optimizedPlan().toString()
+    assert ("lambda" in plan.optimizedPlan().toString()) == (name != "nearest_attribution")
+    assert by_spark(name, spark, folder) == by_sql(name, folder, "lineitem")
+
+
+@pytest.mark.parametrize(("rows", "pairs", "listed"), [(10_000, 1 << 14, 1 << 20), (3, 1, 1), (7, 5, 4)])
+def test_pages_and_pairs_are_cut_anywhere(spark, tmp_path, monkeypatch, rows, pairs, listed):
+    # pages of a hundred boxes and of one, pages without panels or figures, equal boxes
+    lines = [(o, n, (7 * o + 31 * n) % 40) for o in range(30) for n in range(1, 8)] + [(45, 1, 3), (51, 1, 5), (52, 2, 5), (53, 2, 5), (61, 3, 2), (62, 4, 2), (71, 2, 1), (72, 3, 1)]
+    folder = with_lines(spark, tmp_path, lines)
+    real = pages.near_texts
+
+    def cut(names):
+        def run(batches):
+            pages.PAIRS, pages.LISTED = pairs, listed
+            yield from real(names)(batches)
+
+        return run
+
+    monkeypatch.setattr(attribution.pages, "near_texts", cut)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        for name in ("speaker_attribution", "nearest_attribution", "tail_angle_attribution"):
+            assert by_spark(name, spark, folder) == by_sql(name, folder, "lineitem")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_nearest_with_nulls_and_nan_as_in_sql(spark, tmp_path):
+    nan, rows, r = float("nan"), [], np.random.default_rng(3)
+    for o in range(400):
+        for n in range(1, 8):
+            part, size = (None if r.random() < 0.15 else int(r.integers(40))), [None, nan, float("inf"), -400.0, 5.0, 9.0, 30.0][int(r.integers(7))]
+            rows.append((o, part, None if r.random() < 0.1 else int(r.integers(9)), n, size, 1.0, 0.0, 0.0, "N", "O", datetime.datetime(2020, 1, 1)))
+    spark.createDataFrame(rows, LINES).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    same = lambda found: sorted([str(v) for v in r] for r in found)
+    assert same(by_spark_rows("nearest_attribution", spark, tmp_path)) == same(by_sql_rows("nearest_attribution", tmp_path))
+
+
+def by_spark_rows(name, spark, folder):
+    return [tuple(r) for r in catalogue.QUERIES[name](spark, str(folder)).collect()]
+
+
+def by_sql_rows(name, folder):
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet/*.parquet'")
+        return c.execute(catalogue.ORACLE_SQL[name]).fetchall()
